@@ -95,8 +95,9 @@ class OrphanTracker:
         still = self.open.join(touched, ["ref_field", "key"], "left_anti").withColumn("fault", F.lit("missing"))
         ends = materialise(deletions.groupBy("ref_field", "key").agg(F.min("valid_to").alias("ended")), f"{self.label}-ends")
         verdict = materialise(self._judge(refs.select(*_ID).unionByName(waiting)).unionByName(still), f"{self.label}-batch")
-        reopened = None
-        for old in self.settled:
+        reopened, since = None, ends.agg(F.min("ended")).first()[0]
+        for old in self.settled if since is not None else []:
+            old = old.filter(F.col("ref_time") >= since)
             again = checked_join(old, ends, ["ref_field", "key"], salt_on=["row_id"]).filter("ref_time >= ended").select(*_ID, F.lit("deleted").alias("fault"))
             reopened = again if reopened is None else reopened.unionByName(again)
         found = verdict.filter("fault in ('late', 'deleted')")
@@ -106,7 +107,7 @@ class OrphanTracker:
         self.step += 1
 
     def found(self) -> DataFrame:
-        return self.open.withColumn("fault", F.lit("missing")).unionByName(self.faults)
+        return self.open.withColumn("fault", F.lit("missing")).unionByName(self.faults).distinct()
 
     def snapshot(self, at: int) -> DataFrame:
         """Counts as of the time ``at`` per table, field and fault."""
@@ -118,7 +119,6 @@ def track(children: list[Child], parent_rows: DataFrame, period_days: int = 183,
     refs = references(children[0])
     for c in children[1:]:
         refs = refs.unionByName(references(c))
-    refs = refs.dropDuplicates(["child_table", "ref_field", "row_id", "key", "ref_time"])
     index = materialise(_index(parent_rows), "orphan-parents")
     session = index.sparkSession
     width = period_days * 86_400_000_000
