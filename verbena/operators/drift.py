@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..runtime import checked_join, materialise
+from ..runtime import checked_join, materialise, spread
 
 #: A sketch has SLOTS words of 64 bits for value tokens, and one more for value shapes.
 SLOTS = 16
@@ -216,7 +216,7 @@ class Drift:
         rows = checked_join(rows, beside, ["feed", "field_path"], "left", salt_on=["file_name"])
         rows = checked_join(rows, materialise(of_feed(self.profile), "drift-names"), ["feed", "field_path"], "left", salt_on=["file_name"])
         schema = T.StructType([rows.schema[c] for c in _FILE] + [T.StructField("old_path", T.StringType()), T.StructField("new_path", T.StringType()), T.StructField("weight", T.DoubleType())])
-        return rows.groupBy(*_FILE).applyInPandas(_match, schema)
+        return spread(rows, *_FILE).groupBy(*_FILE).applyInPandas(_match, schema)
 
     def changes(self) -> DataFrame:
         """(_FILE, field_path, change_kind): added, removed, renamed, type_changed."""

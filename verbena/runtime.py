@@ -57,3 +57,8 @@ def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the session's number of shuffle partitions, which AQE then leaves apart: for costly tasks over few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
