@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..runtime import checked_join, materialise
+from ..runtime import checked_join, materialise, spread
 
 #: Least Jaccard similarity of two token sets.
 SIMILAR = 0.5
@@ -89,7 +89,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR)
     rank = F.row_number().over(Window.orderBy("n", "token"))  # of the alphabet's letter pairs, not of rows
     rarity = materialise(both.groupBy("token").agg(F.count("*").alias("n")).select("token", rank.alias("rank")), "names-rarity")
     prefix = F.slice("ts", 1, (F.size("ts") - F.ceil(F.size("ts") * threshold) + 1).cast("int"))
-    a = _ordered(left, rarity, ["l", "kind"]).withColumn("p", prefix).select("l", "kind", F.col("ts").alias("lt"), F.col("p").alias("lp"), F.posexplode("p").alias("i", "token"))
+    a = spread(_ordered(left, rarity, ["l", "kind"]), "l").withColumn("p", prefix).select("l", "kind", F.col("ts").alias("lt"), F.col("p").alias("lp"), F.posexplode("p").alias("i", "token"))
     b = _ordered(right, rarity, ["r", "kind"]).withColumn("p", prefix).select("r", "kind", F.col("ts").alias("rt"), F.col("p").alias("rp"), F.posexplode("p").alias("j", "token"))
     b = materialise(b, "names-prefixes")
     n, m = F.size("lt"), F.size("rt")
