@@ -1,0 +1 @@
+from . import readers, sinks  # noqa: F401
