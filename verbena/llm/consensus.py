@@ -71,7 +71,7 @@ class Consensus:
 
     def __init__(self, edges: DataFrame, classes: int = 4, broadcast_rows: int = BROADCAST_ROWS):
         self.k = classes
-        self.edges = edges.filter(f"item is not null and annotator is not null and label between 0 and {classes - 1}")
+        self.edges = edges.select("item", "annotator", "label").filter(f"item is not null and annotator is not null and label between 0 and {classes - 1}")
         names = materialise(self.edges.select("annotator").distinct(), "consensus-annotators")
         self.few = at_most(names, broadcast_rows)
         if self.few:

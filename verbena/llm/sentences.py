@@ -143,11 +143,11 @@ def candidates(text: str, block: Block) -> Iterator[Candidate]:
                 continue
             if word[-1:].isdigit() and nxt.isupper() and not close and term == "." and len(word) < 3:
                 continue
-        yield Candidate(end, word, before, term, close, gap, text[start : start + 60])
+        yield Candidate(end, word, before, term, close, gap, text[start : min(hi, start + 60)])
     if _HAS_THAI.search(text, lo, hi):
         for pat in (_THAI, _TO_FOREIGN):
             for m in pat.finditer(text, lo, hi):
-                yield Candidate(m.start(), text[max(lo, m.start() - 4) : m.start()], "", "", "", True, text[m.end() : m.end() + 60])
+                yield Candidate(m.start(), text[max(lo, m.start() - 4) : m.start()], "", "", "", True, text[m.end() : min(hi, m.end() + 60)])
 
 
 class Counts:
@@ -270,8 +270,7 @@ def following(tail: str, st: Statistics) -> str:
     w = m.group() if m else c
     if _ROMAN.match(w) and len(w) < 5 and w not in ("I", "C", "L") or w == "I" and tail[1:2] in ".,)":
         return "roman"
-    after = tail[len(w) : len(w) + 1]
-    if after == "." and len(w) <= 6:
+    if tail[len(w) : len(w) + 1] == "." and len(w) <= 6 and tail[len(w) + 1 :].strip():
         return "dotted"
     return "cap_" + st.inside(w)
 
