@@ -15,7 +15,7 @@ are never found; an empty item table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,11 +39,14 @@ _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}
 _TOKEN = regex.compile(rf"[{_UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{N}}\p{{M}}]--[{_UNSPACED}]]+", regex.V1)
 
 
+_MARKS = regex.compile("[\u0300-\u036f\u064b-\u065f]+")
+
+
 @lru_cache(maxsize=200_000)
 def _fold(token: str) -> str:
     if token.isascii():
         return token.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", token.casefold()) if not unicodedata.combining(c)) or token
+    return _MARKS.sub("", unicodedata.normalize("NFKD", token.casefold())) or token
 
 
 _SINGLE = regex.compile(rf"[{_UNSPACED}]")
@@ -55,6 +58,13 @@ def tokenise(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
     return [_fold(t) for t, _ in found], [1 if _SINGLE.match(t) else 2 for t, _ in found], [s for _, s in found]
 
 
+def screened(text: str) -> list[tuple[str, ...]]:
+    """The grams of a text that is folded as a whole: those of ``tokenise`` but for rare characters, many times faster."""
+    s = text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+    tokens = _TOKEN.findall(s)
+    return grams(tokens, [1 if _SINGLE.match(t) else 2 for t in tokens] if _SINGLE.search(s) else [])
+
+
 def grams(tokens: list[str], weights: list[int]) -> list[tuple[str, ...]]:
     """At each place the shortest run of tokens that weighs GRAM; the last places have none."""
     if min(weights, default=2) == 2:
@@ -85,6 +95,9 @@ class Index:
 
     def find(self, text: str) -> Iterator[tuple[int, float, int, int]]:
         """(item, share, first character, end) of each item the text holds."""
+        rough = Counter(item for x in self.place.keys() & set(screened(text)) for item in {i for i, _ in self.place[x]})
+        if not any(n >= 0.8 * HITS * self.items[i][1] for i, n in rough.items()):
+            return
         tokens, weights, spans = tokenise(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j, x in enumerate(grams(tokens, weights)):

@@ -54,7 +54,10 @@ _GLUED = regex.compile(r"^.*\p{Ll}{2}[.!?…]+(?=\p{Lu})")
 _NUMBER = regex.compile(r"^[\p{Nd}.,:/×–\-]*\p{Nd}[\p{Nd}.,:/×–\-]*$")
 _ROMAN = regex.compile(r"^[IVXLC]+$")
 _WORDS = re.compile(r"[^\W_](?:[^\W_]|['’]|[.,:](?=[^\W_]))*")
-_BREAKS = frozenset(_TERMS + ":¿¡«“„\"「(")
+_SHORT = re.compile(r"(?<![^\W_])(?<![.,:'’])[^\W_]{1,4}(?![^\W_'’])")
+_AFTER_NUMBER = re.compile(r"(?<![^\W_])\d(?:[\d.,:]*\d)?\s+([^\W_]{1,4})(?![^\W_'’])")
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}[\p{L}\p{M}\p{N}]*")
+_CAPITAL_INSIDE = regex.compile(r"(?<=[\p{L}\p{N},;)\]»”]\s)\p{Lu}[\p{L}\p{M}\p{N}]*")
 _TRIM = "([{«“„\"'‘‚「『¿¡《（‹—–-"
 
 
@@ -163,20 +166,11 @@ class Counts:
         for b in blocks(text):
             if b.kind != "prose":
                 continue
-            last, last_end = "", b.start
-            for m in _WORDS.finditer(text, b.start, b.end):
-                w, at = m.group(), m.start()
-                if len(w) <= 4:
-                    n["all"][w] += 1
-                    if last and last[-1].isdigit() and text[last_end:at].isspace() and _NUMBER.match(last):
-                        n["after_number"][w] += 1
-                if w[0].isupper():
-                    n["cap"][w] += 1
-                    if last:
-                        between = text[last_end:at]
-                        if between == " " or between and _BREAKS.isdisjoint(between):
-                            n["cap_inside"][w] += 1
-                last, last_end = w, m.end()
+            body = text[b.start : b.end]
+            n["all"].update(_SHORT.findall(body))
+            n["after_number"].update(_AFTER_NUMBER.findall(body))
+            n["cap"].update(_CAPITAL.findall(body))
+            n["cap_inside"].update(_CAPITAL_INSIDE.findall(body))
             body_end = b.start + len(text[b.start : b.end].rstrip())
             for m in _STOP.finditer(text, b.start, b.end):
                 close, end = _closing(text, b.start, m) if m["close"] else ("", m.end("term"))
@@ -388,10 +382,11 @@ class Splitter:
         self.memo: dict[tuple, bool] = {}
 
     def is_boundary(self, c: Candidate) -> bool:
-        f, _ = describe(c, self.st)
-        key = tuple(f)
+        token = c.tail.split(None, 1)
+        key = (c.word, bool(_NUMBER.match(c.before)), c.term, c.close, c.gap, token[0], len(token) > 1)  # all that the features see
         got = self.memo.get(key)
         if got is None:
+            f, _ = describe(c, self.st)
             got = _prior(f) + float(self.w[feature_ids(f)].sum()) > 0
             if len(self.memo) < 200_000:
                 self.memo[key] = got
