@@ -44,6 +44,8 @@ _TERMS = r".!?…。！？।॥؟۔｡"
 _FULL = "。！？।॥؟۔｡"
 _CLOSERS = r"”»」』\"'’)\]›“》）"
 _STOP = regex.compile(rf"(?P<term>[{_TERMS}]+(?:[   ][!?]+)?)(?P<close>(?:[   ]?»|[{_CLOSERS}])*)(?P<gap>\s*)")
+_CLOSED = regex.compile(rf"(?P<term>[{_TERMS}]+)(?P<close>(?:\s{{0,2}}»|[{_CLOSERS}])+)")
+_MORE = frozenset(("", ".", "!", "?", "…"))
 _THAI = regex.compile(r"(?<=\p{Thai})(\s+)(?=\p{Thai})")
 _TO_FOREIGN = regex.compile(r"(?<=\p{Thai})(\s+)(?=[«“\"¿¡(]?\p{Lu}\p{Ll}*(?:\s+[^\s\p{Thai}]+){3,}?[.!?…][”»\"]?(?:\s|$))")
 _HAS_THAI = re.compile("[\u0e01-\u0e5b]")
@@ -65,7 +67,7 @@ def slot(kind: str, token: str) -> int:
     return crc32(f"{kind}\t{token}".encode()) % SLOTS
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     start: int
     end: int
@@ -96,7 +98,7 @@ def blocks(text: str) -> Iterator[Block]:
         at = e
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     end: int  # after the closing marks
     word: str  # before the terminator
@@ -171,21 +173,18 @@ class Counts:
             n["after_number"].update(_AFTER_NUMBER.findall(body))
             n["cap"].update(_CAPITAL.findall(body))
             n["cap_inside"].update(_CAPITAL_INSIDE.findall(body))
-            body_end = b.start + len(text[b.start : b.end].rstrip())
-            for m in _STOP.finditer(text, b.start, b.end):
-                close, end = _closing(text, b.start, m) if m["close"] else ("", m.end("term"))
-                at_end = end >= body_end
-                w, _ = _left(text, b.start, m.start())
-                term = m["term"]
+            body = body.rstrip()
+            words = body.split()
+            stopped = [w[:-1].lstrip(_TRIM) for w in words if w[-1] == "." and w[-2:-1] not in _MORE]
+            n["stop"].update(stopped)
+            if stopped and words[-1][-1] == "." and words[-1][-2:-1] not in _MORE:
+                n["stop_end"][stopped[-1]] += 1
+            for m in _CLOSED.finditer(body):
+                close, at = _closing(body, 0, m)
                 if close:
-                    key = f"{term[-1]}{close}|{script(w[-1:])}"
+                    key = f"{m['term'][-1]}{close}|{script(body[m.start() - 1 : m.start()])}"
                     n["cluster"][key] += 1
-                    if at_end:
-                        n["cluster_end"][key] += 1
-                elif term == "." and (m["gap"] or at_end):
-                    n["stop"][w] += 1
-                    if at_end:
-                        n["stop_end"][w] += 1
+                    n["cluster_end"][key] += at >= len(body)
 
     def rows(self) -> list[tuple[int, int, int]]:
         got: Counter = Counter()
