@@ -72,9 +72,15 @@ def share_of(df: DataFrame, flag: Column, name: str = "pct") -> DataFrame:
     return df.agg((F.count_if(flag) * 100.0 / F.nullif(F.count("*"), F.lit(0))).alias(name), F.count("*").alias("n"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows that have both; null where one does not vary."""
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlation_direction(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Correlation of x and y per group and its sign; without a correlation the sign is NEGATIVE."""
-    r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
+    r = correlation(F.col(x), F.col(y))
     return df.groupBy(*by).agg(r.alias("r")).withColumn("direction", F.when(F.col("r") > 0, "POSITIVE").otherwise("NEGATIVE"))
 
 

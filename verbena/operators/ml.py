@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import correlation
 from .windows import rank_auc
 
 
@@ -126,6 +127,6 @@ def shap_values(model: RandomForestClassificationModel, df: DataFrame, features:
 def shap_summary(shap: DataFrame, data: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """(feature, mean_abs, direction): mean contribution and the sign of its correlation with the feature, NEGATIVE without one."""
     both = shap.select(key, *(F.col(f).alias(f"__s_{f}") for f in features)).join(data.select(key, *features), key)
-    aggs = [F.struct(F.lit(f).alias("feature"), F.avg(F.abs(f"__s_{f}")).alias("mean_abs"), F.corr(F.col(f).cast("double"), f"__s_{f}").alias("r")) for f in features]
+    aggs = [F.struct(F.lit(f).alias("feature"), F.avg(F.abs(f"__s_{f}")).alias("mean_abs"), correlation(F.col(f), F.col(f"__s_{f}")).alias("r")) for f in features]
     one = both.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("x"))
     return one.select("x.feature", "x.mean_abs", F.when(F.col("x.r") > 0, "POSITIVE").otherwise("NEGATIVE").alias("direction"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,21 +98,21 @@ def _mapped(f, *types):
 def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the group means by a Poisson bootstrap: every row enters each resample Poisson(1) times.
 
-    The weights come from the row's own hash, so partial sums of all resamples are made where the rows lie and
+    The weights come from the task's number, so partial sums of all resamples are made where the rows lie and
     no group is gathered. Per group: n, mean, low, high; rows with a null or NaN value do not count.
     """
     by = list(by)
-    rows = df.select(*by, not_nan(F.col(value).cast("double")).alias("v"), F.xxhash64(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("h")).filter("v is not null")
+    rows = df.select(*by, not_nan(F.col(value).cast("double")).alias("v")).filter("v is not null")
     schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("s", T.BinaryType())])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for pdf in batches:
             for key, g in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
                 acc = sums.setdefault(tuple(key) if isinstance(key, tuple) else (key,), np.zeros((2, n_boot + 1)))
                 for lo in range(0, len(g), 512):
                     v = g["v"].to_numpy()[lo : lo + 512]
-                    rng = np.random.default_rng([seed, int(g["h"].to_numpy()[lo]) & 0x7FFFFFFFFFFFFFFF, len(v)])
                     w = rng.poisson(1.0, (len(v), n_boot + 1))
                     w[:, 0] = 1
                     acc += np.stack([w.sum(0), v @ w])
