@@ -29,6 +29,8 @@ from ..runtime import checked_join, materialise, spread
 SLOTS = 16
 #: Least weight of a matched pair.
 LEAST = 0.42
+#: Files in which two unrelated names should have met before their never meeting counts as evidence.
+EXPECTED = 3.0
 MISSING = "N/A"
 _SERIES = ["producer", "feed"]
 _FILE = [*_SERIES, "file_seq", "file_name"]
@@ -83,7 +85,7 @@ def profile(rows: DataFrame) -> DataFrame:
 def of_feed(files: DataFrame) -> DataFrame:
     """The profiles of each name merged over the feed."""
     words = [F.bit_or(F.col("sketch")[k]) for k in range(SLOTS + 1)]
-    return files.groupBy("feed", "field_path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("broken").alias("broken"), F.array(*words).alias("sketch"))
+    return files.groupBy("feed", "field_path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("broken").alias("broken"), F.array(*words).alias("sketch"), F.count("*").alias("n_files"))
 
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -131,7 +133,11 @@ def weight(a, b) -> float:
         return name if name >= 0.9 else 0.0
     like = content_likeness(a, b)
     if (ka & kb) <= {"number", "boolean"}:  # their values say little
-        return 0.65 * name + 0.8 * like if name >= 0.3 else 0.0
+        if name >= 0.3:
+            return 0.65 * name + 0.8 * like
+        # By chance, names so frequent would have met in a file; that they never do says that one replaces the other.
+        apart = a.n_files * b.n_files >= EXPECTED * a.n_total
+        return LEAST + 0.2 * like if apart and (like >= 0.42 or ka & kb == {"boolean"}) else 0.0
     return 0.45 * name + 0.75 * like
 
 
@@ -214,7 +220,9 @@ class Drift:
         rows = gone.unionByName(new).join(active, _FILE, "left_semi")
         beside = materialise(beside, "drift-beside")
         rows = checked_join(rows, beside, ["feed", "field_path"], "left", salt_on=["file_name"])
-        rows = checked_join(rows, materialise(of_feed(self.profile), "drift-names"), ["feed", "field_path"], "left", salt_on=["file_name"])
+        totals = self.profile.select(*_FILE).distinct().groupBy("feed").agg(F.count("*").alias("n_total"))
+        named = materialise(of_feed(self.profile).join(totals, "feed"), "drift-names")
+        rows = checked_join(rows, named, ["feed", "field_path"], "left", salt_on=["file_name"])
         schema = T.StructType([rows.schema[c] for c in _FILE] + [T.StructField("old_path", T.StringType()), T.StructField("new_path", T.StringType()), T.StructField("weight", T.DoubleType())])
         return spread(rows, *_FILE).groupBy(*_FILE).applyInPandas(_match, schema)
 
