@@ -139,7 +139,8 @@ def _chain(pairs: list[tuple[int, int]], lengths: list[int], ends: list[int], we
             e += 1
         e = last + span if span else e
         blocks.append((j, e, k, k + e - j))  # doc [j, e), item [k, ..)
-    blocks.sort(key=lambda b: (b[2], b[0]))
+    blocks.sort()
+    reach = GAP + 2 * (len(lengths) + GRAM)
     place = [0]
     for x in lengths:
         place.append(place[-1] + x)
@@ -149,8 +150,10 @@ def _chain(pairs: list[tuple[int, int]], lengths: list[int], ends: list[int], we
     for n, (j, e, k, f) in enumerate(blocks):
         f = min(f, len(lengths))
         top, first = place[f] - place[k], n
-        for p in range(n):
+        for p in range(n - 1, -1, -1):
             pj, pe, pk, pf = blocks[p]
+            if ends[j] - ends[pj] > reach:  # earlier blocks end too far before this one
+                break
             if pk >= k or pj >= j or pe > e or pf > f:
                 continue
             a, b = max(k, pf), max(j, pe)
