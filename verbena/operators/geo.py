@@ -82,6 +82,25 @@ def annulus(candidates: DataFrame, presences: DataFrame, inner: float, outer: fl
     return least.filter((F.col("distance") > inner) & (F.col("distance") <= outer))
 
 
+def uniform_background(session, n: int, box: tuple[float, float, float, float], seed: int = 42, within: DataFrame | None = None, most_tries: int = 20) -> DataFrame:
+    """(id, lon, lat): n places spread evenly over a box (lon min, lat min, lon max, lat max), if asked only inside polygons.
+
+    Places come from the hashes of their numbers, so they are the same on every run; numbers are tried in growing ranges until n are inside.
+    """
+    x0, y0, x1, y1 = box
+    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+    tries = n
+    for _ in range(most_tries):
+        got = session.range(tries).select("id", (x0 + (x1 - x0) * unit(1)).alias("lon"), (y0 + (y1 - y0) * unit(2)).alias("lat"))
+        if within is None:
+            return got
+        got = materialise(inside(got, within, "id"), "geo-background")
+        if got.count() >= n:
+            return got.orderBy("id").limit(n)
+        tries *= 2
+    return got
+
+
 @dataclass(frozen=True)
 class Grid:
     """Affine header: upper left corner, cell size (dy negative for north-up grids), nodata value."""

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +125,23 @@ def shap_values(model: RandomForestClassificationModel, df: DataFrame, features:
     return df.select(key, *(F.col(f).cast("double").alias(f) for f in names)).na.drop(subset=names).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"`{f}` double" for f in names))
 
 
+def lime(model: RandomForestClassificationModel, data: DataFrame, row: dict[str, float], features: Sequence[str], n: int = 2000, seed: int = 42) -> dict[str, float]:
+    """Local weights of the features around one row: a linear model of the scores of n disturbed rows, weighted by their nearness (in deviations of the data)."""
+    spread = data.agg(*(F.stddev_samp(F.col(f).cast("double")).alias(f) for f in features)).first()
+    scale = {f: float(spread[f] or 0.0) or 1.0 for f in features}
+    session = data.sparkSession
+    noise = session.range(n).select("id", *(F.randn(seed + i).alias(f"z_{f}") for i, f in enumerate(features)))
+    near = noise.select("id", *(F.when(F.col("id") == 0, F.lit(float(row[f]))).otherwise(F.lit(float(row[f])) + F.col(f"z_{f}") * scale[f]).alias(f) for f in features))
+    scored = predict(model, near, features)
+    z = {f: (F.col(f) - float(row[f])) / scale[f] for f in features}
+    d2 = sum((v * v for v in z.values()), F.lit(0.0))
+    width = 0.75 * len(features) ** 0.5
+    scored = scored.select("score", F.exp(-d2 / (width * width)).alias("w"), *(v.alias(f"d_{f}") for f, v in z.items()))
+    rows = VectorAssembler(inputCols=[f"d_{f}" for f in features], outputCol="features").transform(scored)
+    fitted = LinearRegression(featuresCol="features", labelCol="score", weightCol="w", regParam=1e-3).fit(rows)
+    return {f: float(c) for f, c in zip(features, fitted.coefficients)}
+
+
 def shap_summary(shap: DataFrame, data: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """(feature, mean_abs, direction): mean contribution and the sign of its correlation with the feature, NEGATIVE without one."""
     both = shap.select(key, *(F.col(f).alias(f"__s_{f}") for f in features)).join(data.select(key, *features), key)

@@ -427,6 +427,49 @@ def next_free_counter(spark, sf_dir):
     return W.first_gap(t, ["day"], "c").withColumnRenamed("day", "exp_id")
 
 
+@query(f"with m as (select tier, avg(m2::double) v from {_LLM} where m2 is not null and not isnan(m2) group by all) select l.eval_id, round(coalesce(case when isnan(m2) then null else m2::double end, v), 6) m2 from {_LLM} l left join m using (tier)")
+def mean_imputation(spark, sf_dir):
+    return rounded(A.filled_with_mean(llm(spark, sf_dir).select("eval_id", "tier", "m2"), ["tier"], "m2").select("eval_id", "m2"))
+
+
+@query("select x.tier, x.eval_id a, y.human_id b from (select tier, eval_id, row_number() over (partition by tier order by eval_id) i from (select distinct tier, eval_id from llm_evaluations) where tier is not null) x join (select tier, human_id, row_number() over (partition by tier order by human_id) i from (select distinct tier, human_id from human_evaluations)) y using (tier, i)")
+def positional_zip(spark, sf_dir):
+    a = llm(spark, sf_dir).select("tier", "eval_id").distinct().filter("tier is not null")
+    b = human(spark, sf_dir).select("tier", "human_id").distinct()
+    ra = W.value_ranks(a, ["tier"], "eval_id").select("tier", "eval_id", F.col("rank").alias("i"))
+    rb = W.value_ranks(b, ["tier"], "human_id").select("tier", "human_id", F.col("rank").alias("i"))
+    return ra.join(rb, ["tier", "i"]).select("tier", F.col("eval_id").alias("a"), F.col("human_id").alias("b"))
+
+
+_FAM = lambda c: f"case when lower({c}) like '%velaria%' then 'v' when lower({c}) like '%orbisai%' then 'o' when lower({c}) like '%tessera%' then 't' else 'unknown' end"
+
+
+@query(f"select judge_id, case when {_FAM('modelo_generador')} = {_FAM('modelo_juez_a')} and {_FAM('modelo_juez_a')} <> 'unknown' then 'tessera/juez-70b' else modelo_juez_a end judge, judge_a_label = judge_b_label single_judge from {_J}")
+def independent_judge(spark, sf_dir):
+    fam = (("velaria", "v"), ("orbisai", "o"), ("tessera", "t"))
+    t = table(spark, sf_dir, "judge_evals").distinct()
+    return t.select("judge_id", S.independent_judge(F.col("modelo_generador"), F.col("modelo_juez_a"), F.lit("tessera/juez-70b"), fam).alias("judge"), (F.col("judge_a_label") == F.col("judge_b_label")).alias("single_judge"))
+
+
+@query(f"with m as (select especie, round(avg(score_compuesto::double) filter (where tier = 'T0'), 6) a, round(avg(score_compuesto::double) filter (where tier = 'T1'), 6) b, round(avg(score_compuesto::double) filter (where tier = 'T3'), 6) c from {_LLM} group by all) select count(*) filter (where c >= b and b >= a) n_in_order, count(*) filter (where a is not null and b is not null and c is not null) n from m")
+def calibration_rank(spark, sf_dir):
+    m = rounded(A.pivot_mean(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto"))
+    full = F.col("T0").isNotNull() & F.col("T1").isNotNull() & F.col("T3").isNotNull()
+    return m.agg(F.count_if(S.descending(F.col("T3"), F.col("T1"), F.col("T0"))).alias("n_in_order"), F.count_if(full).alias("n"))
+
+
+@query(f"select l.eval_id, coalesce(e.persona, l.perfil, 'random') persona from (select distinct eval_id, exp_id, perfil from {_LLM}) l left join (select exp_id, min(persona) persona from experiments group by all) e using (exp_id)")
+def persona_assignment(spark, sf_dir):
+    log = table(spark, sf_dir, "experiments").groupBy("exp_id").agg(F.min("persona").alias("logged"))
+    rows = llm(spark, sf_dir).select("eval_id", "exp_id", "perfil").distinct()
+    return rows.join(log, "exp_id", "left").select("eval_id", F.coalesce("logged", "perfil", F.lit("random")).alias("persona"))
+
+
+@query(f"select eval_id, case tier when 'T0' then 'question' when 'T1' then 'question+ficha' when 'T3' then 'question+ficha+model' else 'none' end context from {_LLM}")
+def tier_context(spark, sf_dir):
+    return llm(spark, sf_dir).select("eval_id", R.remap("tier", {"T0": "question", "T1": "question+ficha", "T3": "question+ficha+model"}, F.lit("none")).alias("context"))
+
+
 def seeded_sample(spark, sf_dir):
     """A sampling operator: the limit is the feature."""
     return W.sample_n(table(spark, sf_dir, "species_reference"), "ref_id", 100)

@@ -124,4 +124,27 @@ def shap_importance(spark, sf_dir):
     return M.shap_summary(M.shap_values(model, m, LAYERS, "id"), m, LAYERS, "id")
 
 
-QUERIES |= {"raster_patches": raster_patches, "rf_metrics": rf_metrics, "shap_importance": shap_importance}
+def uniform_background(spark, sf_dir):
+    """As many places inside the polygons as there are customers."""
+    n = table(spark, sf_dir, "customer").count()
+    return G.uniform_background(spark, n, (-86.0, 8.0, -82.5, 11.5), within=polygons(spark))
+
+
+def lime_weights(spark, sf_dir):
+    """Local weights at the place of the highest score (ties: the first)."""
+    p = points(spark, sf_dir)
+    m = G.environment_matrix(p.filter("id % 3 = 0"), p.filter("id % 3 <> 0"), pixels(spark), GRID, LAYERS)
+    model = M.fit_forest(m, LAYERS, trees=10, depth=4)
+    best = M.predict(model, m, LAYERS).orderBy(F.desc("score"), "id").first()
+    weights = M.lime(model, m, {f: best[f] for f in LAYERS}, LAYERS)
+    return spark.createDataFrame(sorted(weights.items()), "feature string, weight double")
+
+
+@query(f"with {_HITS}, c as (select name, count(*) n, round(count(*) * 100.0 / (select count(*) from p), 1) pct from h group by all), t as (select *, row_number() over (order by n desc, name) i from c) select string_agg(name || ' ' || format('{{:.1f}}', pct) || ' %', ', ' order by i) context from t where i <= 3")
+def conservation_context(spark, sf_dir):
+    top = rounded(G.coverage(points(spark, sf_dir), polygons(spark), 0.5), 1).orderBy(F.desc("n"), "name").limit(3)
+    rows = top.select(F.struct(-F.col("n"), "name", F.format_string("%s %.1f %%", "name", "pct").alias("s")).alias("r"))
+    return rows.agg(F.concat_ws(", ", F.transform(F.sort_array(F.collect_list("r")), lambda x: x["s"])).alias("context"))
+
+
+QUERIES |= {"uniform_background": uniform_background, "lime_weights": lime_weights, "raster_patches": raster_patches, "rf_metrics": rf_metrics, "shap_importance": shap_importance}
