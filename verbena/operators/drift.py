@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..runtime import checked_join, materialise, spread
+from .windows import numbered
 
 #: A sketch has SLOTS words of 64 bits for value tokens, and one more for value shapes.
 SLOTS = 16
@@ -200,8 +200,10 @@ class Drift:
         self.profile = materialise(profile(self.rows), "drift-profile")
         files = self.profile.select(*_FILE).distinct()
         known = materialise(records.select(*_FILE).distinct().unionByName(files).distinct(), "drift-files")
-        w = Window.partitionBy(*_SERIES).orderBy("file_seq", "file_name")
-        order = known.withColumn("next", F.lead(F.struct("file_seq", "file_name")).over(w)).withColumn("first", F.row_number().over(w) == 1)
+        # A series may hold a third of all files: their order comes from range partitions, not from a sort of the series.
+        order = materialise(numbered(known, _FILE), "drift-order")
+        step = lambda k, name: order.select(*_SERIES, (F.col("n") + k).alias("n"), F.struct("file_seq", "file_name").alias(name))
+        order = order.join(step(-1, "next"), [*_SERIES, "n"], "left").join(step(1, "before"), [*_SERIES, "n"], "left").withColumn("first", F.col("before").isNull())
         p = self.profile.join(order.select(*_FILE, "next", "first"), _FILE)
         now = p.filter(~F.col("first")).select(*_FILE, "field_path", F.col("kinds").alias("n_kinds"))
         before = p.filter("next is not null").select(*_SERIES, F.col("next.file_seq").alias("file_seq"), F.col("next.file_name").alias("file_name"), "field_path", F.col("kinds").alias("o_kinds"))

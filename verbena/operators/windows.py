@@ -15,14 +15,16 @@ from pyspark.sql.window import Window
 
 from ..runtime import checked_join, materialise
 
-CUTS = 64
+#: Distinct values per cut of a group's order that one task sorts, and bounds of the number of cuts.
+PER_CUT, LEAST_CUTS, MOST_CUTS = 100_000, 16, 4_000
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, value, ties, rank): the average rank of each distinct value within its group, counting from 1. Nulls have none."""
     per = materialise(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties")), "ranks-values")
     by = list(by)
-    edges = per.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / CUTS) for i in range(1, CUTS))), F.lit(1000)).alias("edges"))
+    cuts = min(MOST_CUTS, max(LEAST_CUTS, -(-per.count() // PER_CUT)))
+    edges = per.groupBy(*by).agg(F.percentile_approx(value, F.expr("array(" + ", ".join(f"{i / cuts:.6f}D" for i in range(1, cuts)) + ")"), F.lit(20 * cuts)).alias("edges"))
     cut = F.size(F.filter("edges", lambda e: e < F.col(value)))
     cutted = (checked_join(per, materialise(edges, "ranks-edges"), by, "left") if by else per.join(F.broadcast(edges), how="cross")).withColumn("cut", cut).drop("edges")
     sums = cutted.groupBy(*by, "cut").agg(F.sum("ties").alias("t"))
