@@ -84,11 +84,11 @@ def grams(tokens: list[str], weights: list[int]) -> list[tuple[str, ...]]:
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.place: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        self.items: dict[int, tuple[list[int], int]] = {}  # lengths of tokens in characters, number of grams
+        self.items: dict[int, tuple[list[str], int]] = {}  # tokens, number of grams
         for item, text in items:
             tokens, weights, _ = tokenise(text)
             g = grams(tokens, weights)
-            self.items[item] = ([len(t) for t in tokens], len(g))
+            self.items[item] = (tokens, len(g))
             for k, x in enumerate(g):
                 self.place[x].append((item, k))
         self.place = dict(self.place)
@@ -105,20 +105,58 @@ class Index:
                 hits[item].append((j, k))
         ends = None
         for item, pairs in hits.items():
-            lengths, n = self.items[item]
+            words, n = self.items[item]
             if len({k for _, k in pairs}) < HITS * n:
                 continue
             if ends is None:
                 ends = [0]
                 for w in weights:
                     ends.append(ends[-1] + w)
-            best = _chain(pairs, lengths, ends, weights)
+            best = _chain(pairs, words, tokens, ends, weights)
             if best and best[0] >= SHARE - 1e-9:
                 yield item, best[0], spans[best[1]][0], spans[min(best[2], len(spans)) - 1][1]
 
 
-def _chain(pairs: list[tuple[int, int]], lengths: list[int], ends: list[int], weights: list[int]) -> tuple[float, int, int] | None:
+def _alike(a: str, b: str) -> bool:
+    """Equal, or a slip: almost the same letters in almost the same number."""
+    if a == b:
+        return True
+    x, y = Counter(a), Counter(b)
+    return len(a) > 2 and abs(len(a) - len(b)) <= 1 and sum((x - y).values()) + sum((y - x).values()) <= 2
+
+
+def _slips(a: list[str], b: list[str]) -> bool:
+    """Whether the words between two hits are the item's but for slips and single replaced words."""
+    if len(a) == len(b):
+        strange = sum(not _alike(x, y) for x, y in zip(a, b))
+    else:
+        left = list(b)
+        strange = 0
+        for x in a:
+            k = next((i for i, y in enumerate(left) if _alike(x, y)), None)
+            if k is None:
+                strange += 1
+            else:
+                del left[: k + 1]
+    return strange <= max(1, len(a) // 3)
+
+
+def _reach(a: list[str], b: list[str]) -> int:
+    """How many of the item's words a passage goes on for beyond its last hit, slips and single replaced words included."""
+    got = missed = 0
+    for i, (x, y) in enumerate(zip(a, b)):
+        if _alike(x, y):
+            got, missed = i + 1, 0
+        else:
+            missed += 1
+            if missed > 1:
+                break
+    return got
+
+
+def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], ends: list[int], weights: list[int]) -> tuple[float, int, int] | None:
     """Best chain of diagonal runs, as (covered share of the item, first and end token of the passage)."""
+    lengths = [len(w) for w in words]
     runs: dict[tuple[int, int], list[int]] = {}
     open_runs: dict[int, tuple[int, int]] = {}
     for j, k in pairs:  # j ascends
@@ -146,7 +184,7 @@ def _chain(pairs: list[tuple[int, int]], lengths: list[int], ends: list[int], we
         place.append(place[-1] + x)
     total = place[-1] or 1
     state: list[tuple[int, int]] = []  # covered characters, first block
-    best = (0, 0, 0)
+    best = (0, 0, 0, 0)
     for n, (j, e, k, f) in enumerate(blocks):
         f = min(f, len(lengths))
         top, first = place[f] - place[k], n
@@ -161,14 +199,23 @@ def _chain(pairs: list[tuple[int, int]], lengths: list[int], ends: list[int], we
                 continue
             gain = place[f] - place[max(k, pf)]
             lost, extra = a - pf, b - pe
-            if 0 < lost <= SLIP and extra <= lost + 3:
+            if lost > SLIP:  # a passage leaves nothing of the item out
+                continue
+            if 0 < lost <= SLIP and extra <= lost + 3 and _slips(words[pf:a], tokens[pe:b]):
                 gain += place[a] - place[pf]
             if state[p][0] + gain > top:
                 top, first = state[p][0] + gain, state[p][1]
         state.append((top, first))
         if top > best[0]:
-            best = (top, blocks[first][0], e)
-    return (best[0] / total, best[1], best[2]) if blocks else None
+            best = (top, first, n, f)
+    if not blocks:
+        return None
+    top, first, last, f = best
+    j, _, k, _ = blocks[first]
+    before = _reach(words[:k][::-1], tokens[max(0, j - k - 8) : j][::-1])
+    after = _reach(words[f:], tokens[blocks[last][1] : blocks[last][1] + len(words) - f + 8])
+    top += place[k] - place[k - before] + place[f + after] - place[f]
+    return top / total, max(0, j - before), min(len(tokens), blocks[last][1] + after)
 
 
 def _scan(documents: DataFrame, index: Index) -> DataFrame:
