@@ -73,7 +73,7 @@ class OrphanTracker:
         self.index = session.createDataFrame([], PARENT)
         self.open = session.createDataFrame([], REFERENCE).select(*_ID)
         self.faults = session.createDataFrame([], REFERENCE).select(*_ID).withColumn("fault", F.lit(""))
-        self.settled: list[DataFrame] = []
+        self.settled: list[tuple[DataFrame, int | None]] = []  # with the last time of each
 
     def _judge(self, refs: DataFrame) -> DataFrame:
         """refs with ``fault``: missing, late, deleted or null."""
@@ -96,14 +96,17 @@ class OrphanTracker:
         ends = materialise(deletions.groupBy("ref_field", "key").agg(F.min("valid_to").alias("ended")), f"{self.label}-ends")
         verdict = materialise(self._judge(refs.select(*_ID).unionByName(waiting)).unionByName(still), f"{self.label}-batch")
         reopened, since = None, ends.agg(F.min("ended")).first()[0]
-        for old in self.settled if since is not None else []:
+        for old, last in self.settled if since is not None else []:
+            if last is None or last < since:  # nothing in that batch can have been deleted
+                continue
             old = old.filter(F.col("ref_time") >= since)
             again = checked_join(old, ends, ["ref_field", "key"], salt_on=["row_id"]).filter("ref_time >= ended").select(*_ID, F.lit("deleted").alias("fault"))
             reopened = again if reopened is None else reopened.unionByName(again)
         found = verdict.filter("fault in ('late', 'deleted')")
         self.faults = materialise(self.faults.unionByName(found if reopened is None else found.unionByName(reopened)), f"{self.label}-faults")
         self.open = verdict.filter("fault = 'missing'").select(*_ID)
-        self.settled.append(verdict.filter("fault is null").select(*_ID))
+        settled = verdict.filter("fault is null").select(*_ID)
+        self.settled.append((settled, settled.agg(F.max("ref_time")).first()[0]))
         self.step += 1
 
     def found(self) -> DataFrame:
