@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,10 +32,31 @@ def shared_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_cleaned: set[str] = set()
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared root; it is removed as the driver's Python ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_root(spark)}/verbena/{sc.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_remove, sc, folder)
+    return folder
+
+
+def _remove(sc, folder: str) -> None:
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone; its folder stays
+        pass
+
+
 def materialise(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut lineage by a written table in the shared folder, which survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/verbena/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     cols = [c for c in df.columns if c not in partition_by] + list(partition_by)
     return spark.read.schema(df.select(*cols).schema).parquet(path).select(*df.columns)
