@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checked_join, materialise
+
 #: Share of an item that makes a leak, and the share of its grams that must hit before it is verified.
 SHARE, HITS = 0.6, 0.22
 #: Weight of a gram: words weigh 2, characters 1.
@@ -249,7 +251,7 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
 def without_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with the leaked passages cut out; ``found`` as from ``leaks``. Documents left empty are dropped."""
     spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("cut"))
-    joined = documents.join(spans, "doc_id", "left")
+    joined = checked_join(documents, materialise(spans, "leak-spans"), ["doc_id"], "left")  # few documents leak: the corpus is then not shuffled
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     kept = F.aggregate(
         "cut", start, lambda acc, s: F.struct(F.concat(acc.kept, F.when(s.start_char > acc.at, F.substring(F.col("text"), acc.at + 1, s.start_char - acc.at)).otherwise("")).alias("kept"), F.greatest(acc.at, s.end_char).alias("at"))
