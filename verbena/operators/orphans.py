@@ -94,7 +94,8 @@ class OrphanTracker:
         waiting = self.open.join(touched, ["ref_field", "key"], "left_semi")
         still = self.open.join(touched, ["ref_field", "key"], "left_anti").withColumn("fault", F.lit("missing"))
         ends = materialise(deletions.groupBy("ref_field", "key").agg(F.min("valid_to").alias("ended")), f"{self.label}-ends")
-        verdict = materialise(self._judge(refs.select(*_ID).unionByName(waiting)).unionByName(still), f"{self.label}-batch")
+        verdict = self._judge(refs.select(*_ID).unionByName(waiting)).unionByName(still).withColumn("fault", F.coalesce("fault", F.lit("none")))
+        verdict = materialise(verdict, f"{self.label}-batch", ["fault"])  # so that each use reads its own part
         reopened, since = None, ends.agg(F.min("ended")).first()[0]
         for old, last in self.settled if since is not None else []:
             if last is None or last < since:  # nothing in that batch can have been deleted
@@ -105,7 +106,7 @@ class OrphanTracker:
         found = verdict.filter("fault in ('late', 'deleted')")
         self.faults = materialise(self.faults.unionByName(found if reopened is None else found.unionByName(reopened)), f"{self.label}-faults")
         self.open = verdict.filter("fault = 'missing'").select(*_ID)
-        settled = verdict.filter("fault is null").select(*_ID)
+        settled = verdict.filter("fault = 'none'").select(*_ID)
         self.settled.append((settled, settled.agg(F.max("ref_time")).first()[0]))
         self.step += 1
 
