@@ -78,6 +78,15 @@ def _ordered(sets: DataFrame, rarity: DataFrame, key: list[str]) -> DataFrame:
     return checked_join(flat, rarity, ["token"]).groupBy(*key).agg(F.sort_array(F.collect_list("rank")).alias("ts"))
 
 
+_BIT_WORDS = 4
+
+
+def _word(ranks: Column, k: int) -> Column:
+    """The k-th word of 64 bits of a set's bitmap."""
+    mine = F.filter(ranks, lambda x: F.pmod(F.floor(x / 64), F.lit(_BIT_WORDS)) == k)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(l, r, jaccard) of all pairs at least ``threshold`` alike. left: (l, kind, tokens), right: (r, kind, tokens); only equal kinds meet.
 
@@ -89,13 +98,18 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR)
     rank = F.row_number().over(Window.orderBy("n", "token"))  # of the alphabet's letter pairs, not of rows
     rarity = materialise(both.groupBy("token").agg(F.count("*").alias("n")).select("token", rank.alias("rank")), "names-rarity")
     prefix = F.slice("ts", 1, (F.size("ts") - F.ceil(F.size("ts") * threshold) + 1).cast("int"))
-    a = spread(_ordered(left, rarity, ["l", "kind"]), "l").withColumn("p", prefix).select("l", "kind", F.col("ts").alias("lt"), F.col("p").alias("lp"), F.posexplode("p").alias("i", "token"))
-    b = _ordered(right, rarity, ["r", "kind"]).withColumn("p", prefix).select("r", "kind", F.col("ts").alias("rt"), F.col("p").alias("rp"), F.posexplode("p").alias("j", "token"))
+    bits = lambda side: [_word(F.col("ts"), k).alias(f"{side}{k}") for k in range(_BIT_WORDS)]
+    a = spread(_ordered(left, rarity, ["l", "kind"]), "l").withColumn("p", prefix).select("l", "kind", F.col("ts").alias("lt"), F.col("p").alias("lp"), *bits("lb")).select("*", F.posexplode("lp").alias("i", "token"))
+    b = _ordered(right, rarity, ["r", "kind"]).withColumn("p", prefix).select("r", "kind", F.col("ts").alias("rt"), F.col("p").alias("rp"), *bits("rb")).select("*", F.posexplode("rp").alias("j", "token"))
     b = materialise(b, "names-prefixes")
     n, m = F.size("lt"), F.size("rt")
     need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
     most = F.least("i", "j") + 1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
     pairs = checked_join(a, b, ["kind", "token"], salt_on=["l"]).filter((m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9) & (most >= need))
+    # Sets share at most as many tokens as their bitmaps share bits, and as many more as fell together in the left one.
+    both = sum((F.bit_count(F.col(f"lb{k}").bitwiseAND(F.col(f"rb{k}"))) for k in range(_BIT_WORDS)), F.lit(0))
+    own = sum((F.bit_count(f"lb{k}") for k in range(_BIT_WORDS)), F.lit(0))
+    pairs = pairs.filter(both + n - own >= need)
     pairs = pairs.filter(F.array_min(F.array_intersect("lp", "rp")) == F.col("token"))  # each pair once, at its first shared token
     shared = F.size(F.array_intersect("lt", "rt"))
     return pairs.withColumn("jaccard", shared / (n + m - shared)).filter(F.col("jaccard") >= threshold - 1e-9).select("l", "r", "kind", "jaccard")
