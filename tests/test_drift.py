@@ -55,6 +55,12 @@ def test_unified_table(spark):
     assert sorted(((r[name], r.who) for r in got.collect()), key=repr) == sorted([(0.5, "a"), (0.7, "b"), (None, "c")], key=repr)
 
 
+def test_unified_table_leaves_nothing_out(spark):
+    d = drift(spark, {1: [{"m": ["T0"], "c": {"valor": 1, "origen": "x"}, "s": {"a": 1}}, {"m": ["T0", "T1", "T3"], "c": 2, "s": []}], 2: [{"m": "T2", "c": [{"valor": "3", "origen": ["y", "z"]}], "s": [1, {"b": 2}]}]})
+    got = d.unified("f")
+    assert [(r.m, r.c, r.c_origen, r.s) for r in got.orderBy("record_id").collect()] == [("T0", 1, "x", '{"a":1}'), ('["T0","T1","T3"]', 2, None, "[]"), ("T2", 3, '["y","z"]', '[1,{"b":2}]')]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 4), st.integers(1, 4), st.randoms(use_true_random=False))
 def test_matching_is_the_best(n, m, rnd):

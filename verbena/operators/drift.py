@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -63,6 +65,24 @@ def json_type(value) -> F.Column:
     return F.when((s == "STRING") & (F.try_variant_get(value, "$", "string") == MISSING), None).otherwise(kind)
 
 
+def members(rows: DataFrame) -> DataFrame:
+    """(rows' columns without value, member, text): nothing of a value is left out.
+
+    An array of one element counts as that element; every other array, and an object without "valor", is JSON text. An object
+    with it gives that as the value (member null) and a row more for each of its other members.
+    """
+    one = F.when(F.size(F.try_variant_get("value", "$", "array<variant>")) == 1, F.try_variant_get("value", "$[0]", "variant")).otherwise(F.col("value"))
+    rows = rows.withColumn("value", F.when(json_type("value").isNotNull(), one))
+    parts = F.try_variant_get("value", "$", "map<string, variant>")
+    inside = F.when(F.map_contains_key(parts, F.lit("valor")), F.transform(F.map_entries(parts), lambda e: F.struct(F.nullif(e["key"], F.lit("valor")).alias("member"), e["value"].alias("value"))))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("member"), F.col("value").alias("value")))
+    rows = rows.withColumn("__part", F.explode(F.coalesce(inside, whole)))
+    rows = rows.select(*(c for c in rows.columns if c not in ("value", "__part")), "__part.member", "__part.value")
+    s = F.schema_of_variant("value")
+    text = F.when(s.startswith("ARRAY") | s.startswith("OBJECT"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
+    return rows.withColumn("text", text).drop("value")
+
+
 def _bits(hashes, k: int) -> F.Column:
     return F.aggregate(F.filter(hashes, lambda x: x % SLOTS == k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.floor(x / SLOTS), F.lit(64)).cast("int"))))
 
@@ -258,19 +278,22 @@ class Drift:
         return self.profile.sparkSession.createDataFrame([(f, p, n) for (f, p), n in sorted(best.items())], "feed string, field_path string, name string")
 
     def unified(self, feed: str) -> DataFrame:
-        """One row per record of the feed, one column per field under its canonical name; numbers and booleans where all values are."""
-        names = [r for r in self.canonical_names().filter(F.col("feed") == feed).collect()]
-        by_name: dict[str, list[str]] = defaultdict(list)
-        for r in names:
-            by_name[r.name].append(r.field_path)
-        kind = json_type("value")
-        plain = F.when(kind == "array", F.try_variant_get("value", "$[0]", "string")).when(kind == "object", F.coalesce(F.try_variant_get("value", "$.valor", "string"), F.to_json("value"))).when(kind.isNotNull(), F.try_variant_get("value", "$", "string"))
-        rows = self.rows.filter(F.col("feed") == feed).select(*_FILE, "record_id", "field_path", plain.alias("text"))
+        """One row per record of the feed, one column per field under its canonical name; numbers and booleans where all values are.
+
+        What ``members`` tells apart has columns of its own: field_member. Arrays that are not of one element are JSON text.
+        """
+        names = {r.field_path: r.name for r in self.canonical_names().filter(F.col("feed") == feed).collect()}
+        by_name: dict[str, list[tuple[str, str | None]]] = defaultdict(list)
+        for path, name in names.items():
+            by_name[name].append((path, None))
+        rows = members(self.rows.filter(F.col("feed") == feed).select(*_FILE, "record_id", "field_path", "value"))
+        for r in rows.filter("member is not null").select("field_path", "member").distinct().orderBy("field_path", "member").collect():  # names only
+            by_name[f"{names[r.field_path]}.{r.member}"].append((r.field_path, r.member))
         aggs, used = [], Counter(c.lower() for c in [*_FILE, "record_id"])
         for name, paths in sorted(by_name.items()):
             col = name.replace(".", "_")
             used[col.lower()] += 1
-            aggs.append(F.max(F.when(F.col("field_path").isin(*paths), F.col("text"))).alias(col if used[col.lower()] == 1 else f"{col}_{used[col.lower()]}"))
+            aggs.append(F.max(F.when(reduce(or_, ((F.col("field_path") == p) & F.col("member").eqNullSafe(m) for p, m in paths)), F.col("text"))).alias(col if used[col.lower()] == 1 else f"{col}_{used[col.lower()]}"))
         wide = rows.groupBy(*_FILE, "record_id").agg(*aggs) if aggs else rows.select(*_FILE, "record_id").distinct()
         return self._typed(wide)
 
@@ -284,4 +307,4 @@ class Drift:
         return wide.select(*_FILE, "record_id", *((num(c) if bad[f"n{i}"] == 0 else F.col(f"`{c}`")).alias(c) for i, c in enumerate(cols)))
 
 
-__all__ = ["Drift", "best_matching", "fields", "json_type", "name_likeness", "profile", "weight"]
+__all__ = ["Drift", "best_matching", "fields", "json_type", "members", "name_likeness", "profile", "weight"]
