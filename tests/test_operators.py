@@ -196,6 +196,11 @@ def test_elevation_range(spark, fragment, want):
     assert tuple(one(spark, X.elevation_range("a"), a=f"Bosque, {fragment}; N Cord.")) == want
 
 
+@pytest.mark.parametrize("text,want", [("Vive entre 1220 y 320 m.", [320, 1220]), ("100 a 2.500 m", [100, 2500]), ("Desde 900 hasta 1.800 msnm", [900, 1800]), ("de 5 a 700 metros", [5, 700]), ("8 m y 90 m; 0-5 m", [0, 5, 8, 90]), ("entre 3 y 7 hojas, 20 m", [20])])
+def test_both_ends_of_worded_ranges(spark, text, want):
+    assert one(spark, X.elevations("a"), a=text) == want
+
+
 def test_text_functions(spark):
     s = "Bosque, potreros, (0-)300-1200 m; vert. Pac. Cord. (rara). Fl. mar."
     assert one(spark, X.habitat_type("a"), a=s) == "Bosque" and one(spark, X.geographic_notes("a"), a=s) == "vert. Pac. Cord."
