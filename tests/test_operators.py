@@ -1,5 +1,6 @@
 import json
 import math
+import unicodedata
 import zipfile
 
 import pandas as pd
@@ -212,6 +213,21 @@ def test_text_functions(spark):
     assert one(spark, X.best_line("a", ["^Selva", "m$"]), a="x\nSelva alta\nde río.\nno") == "Selva alta de río."
 
 
+def test_accent_fold_of_all_texts(spark, tmp_path):
+    from verbena.plans.texts import accent_fold
+
+    def fold(s):
+        out = ""
+        for c in s:
+            d = unicodedata.normalize("NFD", c)
+            out += d[0] if unicodedata.name(c, "").startswith("LATIN") else c
+        return "".join(c for c in out if not "\u0300" <= c <= "\u036f").lower()
+
+    texts = ["Ñandú É", "Tiếng Việt Ắ", "ǽ Ǿ ș", "e\u0301 à", "中文 é ガ", "हिन्दी ไทย عربي Й ή", "😀 Ÿ", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(accent_fold(spark, tmp_path).collect()) == {i: fold(t) for i, t in enumerate(texts)}
+
+
 # Space and learning
 
 def test_points_polygons_and_rasters(spark):

@@ -32,8 +32,7 @@ def ocr_repair(spark, sf_dir):
 
 @query("select doc_id, lower(strip_accents(text)) folded from documents where regexp_full_match(text, '[\\x00-\\x7FáéíóúüñÁÉÍÓÚÜÑäöÄÖèêëàâçîïôû¿¡«»“”„…–\\n]*')")
 def accent_fold(spark, sf_dir):
-    plain = F.col("text").rlike(r"^[\x00-\x7FáéíóúüñÁÉÍÓÚÜÑäöÄÖèêëàâçîïôû¿¡«»“”„…–\n]*$")
-    return table(spark, sf_dir, "documents").filter(plain).select("doc_id", X.unaccented("text").alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.unaccented("text").alias("folded"))
 
 
 _H = r"(?i)\b(\d{1,2}[.,]\d{3}|\d{2,4})\s*(?:m|msnm|metros|meters)(?:[^\p{L}\p{N}]|$)"
