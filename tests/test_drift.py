@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from verbena.operators.drift import Drift, best_matching, name_likeness
+from verbena.operators.drift import KEPT, Drift, _covered, best_matching, name_likeness
 
 SCHEMA = "record_id bigint, producer string, feed string, file_name string, file_seq int, payload string, field_path int, value string, kinds string"
 
@@ -55,6 +55,23 @@ def test_unified_table(spark):
     assert sorted(((r[name], r.who) for r in got.collect()), key=repr) == sorted([(0.5, "a"), (0.7, "b"), (None, "c")], key=repr)
 
 
+def test_likeness_does_not_fade_in_large_feeds(spark):
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}x{i}y{k}" for k in range(i)) for i in range(3, 203)]
+    d = drift(spark, {1: [{"cita": t} for t in texts], 2: [{"quote": t} for t in texts]})
+    assert changes(d) == [("renamed", "quote", "p/f_2")]
+    assert all(len(r.sketch) <= 2 * KEPT for r in d.profile.collect())
+
+
+def test_share_of_sketches():
+    rng = np.random.default_rng(1)
+    a, b = np.unique(rng.integers(0, 1 << 40, 20_000)), np.unique(rng.integers(0, 1 << 40, 20_000))
+    half = np.union1d(a[::2], b[::2])
+    sketch = lambda s: s[:KEPT]
+    assert _covered(sketch(a), sketch(a)) == 1 and _covered(sketch(a), sketch(b)) < 0.02
+    assert _covered(sketch(a), sketch(half)) == pytest.approx(0.5, abs=0.1)
+    assert _covered(a[:10], np.union1d(a[5:10], b[:20])) == 0.5
+
+
 def test_unified_table_leaves_nothing_out(spark):
     d = drift(spark, {1: [{"m": ["T0"], "c": {"valor": 1, "origen": "x"}, "s": {"a": 1}}, {"m": ["T0", "T1", "T3"], "c": 2, "s": []}], 2: [{"m": "T2", "c": [{"valor": "3", "origen": ["y", "z"]}], "s": [1, {"b": 2}]}]})
     got = d.unified("f")

@@ -1,6 +1,6 @@
 """Schemas that drift between files: profile fields per file, match renames, unify the records.
 
-Each file's fields are profiled (JSON types, bitmaps of hashed value tokens and value shapes, numeric
+Each file's fields are profiled (JSON types, least hashes of value tokens and value shapes, numeric
 range), and the profiles of a name are merged over its whole feed. Between consecutive files of a
 series, fields that went and fields that came form a bipartite graph whose edges weigh likeness of
 values, of types and of names; the best matching gives the renames. Two names that stand side by side
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -23,17 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..runtime import checked_join, materialise, spread
 from .windows import numbered
 
-#: A sketch has SLOTS words of 64 bits for value tokens, and one more for value shapes.
-SLOTS = 16
+#: A sketch has the least KEPT hashes of value tokens, and as many of value shapes, however many there are.
+KEPT = 512
 #: Least weight of a matched pair.
 LEAST = 0.42
 #: Files in which two unrelated names should have met before their never meeting counts as evidence.
 EXPECTED = 3.0
 MISSING = "N/A"
+_KINDS = ["array", "boolean", "number", "object", "string"]
 _SERIES = ["producer", "feed"]
 _FILE = [*_SERIES, "file_seq", "file_name"]
 
@@ -83,8 +86,20 @@ def members(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).drop("value")
 
 
-def _bits(hashes, k: int) -> F.Column:
-    return F.aggregate(F.filter(hashes, lambda x: x % SLOTS == k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.floor(x / SLOTS), F.lit(64)).cast("int"))))
+def _marks(hashes, kind: int) -> F.Column:
+    """62 bits of each hash, and the last bit the kind."""
+    return F.transform(hashes, lambda h: F.shiftleft(F.shiftrightunsigned(h, 2), 1).bitwiseOR(F.lit(kind).cast("bigint")))
+
+
+def _bottom(rows: DataFrame, by: list[str], facts: dict[str, Callable]) -> DataFrame:
+    """(by, facts, sketch): the KEPT least marks of each kind, ascending. rows: by, facts' columns, mark (null in the rows that hold the facts).
+
+    Repeated marks are merged map-side first, and each task sends on no more than KEPT per group.
+    """
+    one = rows.groupBy(*by, "mark").agg(*(f(c).alias(c) for c, f in facts.items()))
+    place = F.row_number().over(Window.partitionBy(*by, F.col("mark").bitwiseAND(F.lit(1).cast("bigint"))).orderBy("mark"))
+    least = one.withColumn("__place", place).filter(F.col("__place") <= KEPT)
+    return least.groupBy(*by).agg(*(f(c).alias(c) for c, f in facts.items()), F.sort_array(F.collect_list("mark")).alias("sketch"))
 
 
 def profile(rows: DataFrame) -> DataFrame:
@@ -92,20 +107,23 @@ def profile(rows: DataFrame) -> DataFrame:
     kind = json_type("value")
     text = F.when(kind.isin("array", "object"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
     shape = F.regexp_replace(F.regexp_replace(text, r"\p{N}+", "9"), r"\p{L}+", "a")
-    one = rows.select(*_FILE, "field_path", kind.alias("kind"), text.alias("text"), shape.alias("shape")).withColumn("known", F.col("kind").isNotNull())
-    tokens = F.transform(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)), lambda t: F.shiftrightunsigned(F.xxhash64(t), 1))
-    marks = F.when(F.length("shape") > 2, F.array(F.pmod(F.xxhash64("shape"), F.lit(64)) * SLOTS)).otherwise(F.array().cast("array<bigint>"))
-    one = one.withColumn("t", F.when(F.col("known"), tokens)).withColumn("s", F.when(F.col("known"), marks))
+    one = rows.select(*_FILE, "field_path", kind.alias("kind"), text.alias("text"), shape.alias("shape"))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0))
+    shapes = F.when(F.length("shape") > 2, F.array(F.xxhash64("shape"))).otherwise(F.array().cast("array<bigint>"))
     number = F.when(F.col("kind") == "number", F.col("text").try_cast("double"))
-    words = [F.bit_or(_bits(F.col("t"), k)).alias(f"s{k}") for k in range(SLOTS)] + [F.bit_or(_bits(F.col("s"), 0)).alias(f"s{SLOTS}")]
-    got = one.groupBy(*_FILE, "field_path").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.min(number).alias("low"), F.max(number).alias("high"), F.max(F.when(number % 1 != 0, 1).otherwise(0)).alias("broken"), *words)
-    return got.select(*_FILE, "field_path", "kinds", "low", "high", "broken", F.array(*(F.coalesce(f"s{k}", F.lit(0).cast("bigint")) for k in range(SLOTS + 1))).alias("sketch"))
+    code = F.coalesce(*(F.when(F.col("kind") == k, F.lit(1 << i)) for i, k in enumerate(_KINDS)), F.lit(0))
+    one = one.withColumn("low", number).withColumn("high", number).withColumn("broken", F.when(number % 1 != 0, 1).otherwise(0)).withColumn("code", code)
+    marks = F.when(F.col("kind").isNotNull(), F.concat(_marks(F.transform(words, lambda t: F.xxhash64(t)), 0), _marks(shapes, 1)))
+    facts = {"code": F.bit_or, "low": F.min, "high": F.max, "broken": F.max}
+    marked = one.select(*_FILE, "field_path", *facts, F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.coalesce(marks, F.array().cast("array<bigint>")))).alias("mark"))
+    kinds = F.filter(F.array(*(F.when(F.col("code").bitwiseAND(F.lit(1 << i)) > 0, F.lit(k)) for i, k in enumerate(_KINDS))), F.isnotnull)
+    return _bottom(marked, [*_FILE, "field_path"], facts).select(*_FILE, "field_path", kinds.alias("kinds"), "low", "high", "broken", "sketch")
 
 
 def of_feed(files: DataFrame) -> DataFrame:
     """The profiles of each name merged over the feed."""
-    words = [F.bit_or(F.col("sketch")[k]) for k in range(SLOTS + 1)]
-    return files.groupBy("feed", "field_path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("broken").alias("broken"), F.array(*words).alias("sketch"), F.count("*").alias("n_files"))
+    marked = files.select("feed", "field_path", "low", "high", "broken", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "sketch")).alias("mark")).withColumn("n_files", F.col("mark").isNull().cast("bigint"))
+    return _bottom(marked, ["feed", "field_path"], {"low": F.min, "high": F.max, "broken": F.max, "n_files": F.sum})
 
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -125,14 +143,10 @@ def name_likeness(a: str, b: str) -> float:
 
 
 def _covered(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller bitmap in the larger one, beyond what its density makes likely."""
-    x, y = (np.unpackbits(v.view(np.uint8)) for v in (a, b))
-    if x.sum() > y.sum():
-        x, y = y, x
-    if not x.sum():
-        return 0.0
-    dense = y.mean()
-    return max(0.0, ((x & y).sum() / x.sum() - dense) / (1 - dense)) if dense < 0.9 else 0.0
+    """Share of the smaller set in the larger one: exact up to KEPT values; beyond, of the values below the bound up to which both sketches are whole."""
+    upto = min((s[-1] for s in (a, b) if len(s) >= KEPT), default=None)
+    x, y = (s if upto is None else s[s <= upto] for s in (a, b))
+    return len(np.intersect1d(x, y)) / min(len(x), len(y)) if len(x) and len(y) else 0.0
 
 
 def content_likeness(a, b) -> float:
@@ -141,7 +155,7 @@ def content_likeness(a, b) -> float:
         size = lambda p: np.log10(1 + max(abs(p.low), abs(p.high)))
         return 0.45 * max(0.0, 1 - abs(size(a) - size(b)) / 1.2) * (1.0 if a.broken == b.broken else 0.7)
     s, t = (np.asarray(p.sketch, np.int64) for p in (a, b))
-    return max(_covered(s[:SLOTS], t[:SLOTS]), 0.8 * _covered(s[SLOTS:], t[SLOTS:]))
+    return max(_covered(s[s & 1 == 0], t[t & 1 == 0]), 0.8 * _covered(s[s & 1 == 1], t[t & 1 == 1]))
 
 
 def weight(a, b) -> float:
