@@ -120,6 +120,11 @@ def test_numbering_gaps_cycles_samples(spark):
     assert {(r.y, r.is_test): r["count"] for r in split} == {(1, True): 20, (1, False): 80, (0, True): 180, (0, False): 720}
 
 
+def test_split_of_many_classes(spark):
+    df = spark.range(201_000).select(F.col("id").alias("label"), F.lit(1).alias("key"))
+    assert W.stratified_split(df, "label", "key").agg(F.count("*"), F.count_if("is_test")).first()[:] == (201_000, 0)
+
+
 def test_auc_and_latest(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (None, 0.3), (1, None)], "y int, s double")
     r = W.rank_auc(df, "y", "s").first()

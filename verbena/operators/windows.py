@@ -80,8 +80,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2) ->
     """Adds is_test: the first floor(test x n) rows of each class in key order. Places come from value_ranks, so no class is sorted in one task."""
     one = df.groupBy(label, key).agg(F.count("*").alias("__n"))
     ranks = value_ranks(one, [label], key).select(label, key, F.col("rank").alias("__r"))
-    sizes = one.groupBy(label).agg(F.count("*").alias("__all"))
-    return df.join(ranks, [label, key]).join(F.broadcast(sizes.limit(100_000)), label).withColumn("is_test", F.col("__r") <= F.floor(F.col("__all") * test)).drop("__r", "__all")
+    sizes = materialise(one.groupBy(label).agg(F.count("*").alias("__all")), "split-sizes")
+    return checked_join(df.join(ranks, [label, key]), sizes, [label]).withColumn("is_test", F.col("__r") <= F.floor(F.col("__all") * test)).drop("__r", "__all")
 
 
 def cyclic_assignment(items: DataFrame, item: str, group: str, pool: dict[str, Sequence[str]], seed: int = 42) -> DataFrame:
