@@ -1,3 +1,4 @@
+import inspect
 import json
 import math
 import unicodedata
@@ -160,6 +161,10 @@ def test_kappa_anova_bootstrap(spark):
     assert b["0"].n == 2000 and b["0"].mean == pytest.approx(4.0) and b["0"].high - b["0"].low == pytest.approx(2 * 1.96 * math.sqrt(8 / 2000), rel=0.15)
 
 
+def test_bootstrap_draws_as_many_as_the_reference():
+    assert inspect.signature(Q.bootstrap_ci).parameters["n_boot"].default == 10_000
+
+
 def test_groups(spark):
     df = spark.createDataFrame([("a", "T0", 1.0), ("a", "T1", 3.0), ("a", "T1", float("nan")), ("b", "T0", None)], "g string, t string, v double")
     assert rows(A.describe(df, ["g"], "v").select("g", "n", "mean")) == [("a", 2.0, 2)] + [("b", None, 0)] or {r.g: (r.n, r["mean"]) for r in A.describe(df, ["g"], "v").collect()} == {"a": (2, 2.0), "b": (0, None)}

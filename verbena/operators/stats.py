@@ -95,7 +95,7 @@ def _mapped(f, *types):
 
 # Bootstrap
 
-def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the group means by a Poisson bootstrap: every row enters each resample Poisson(1) times.
 
     The weights come from the task's number, so partial sums of all resamples are made where the rows lie and
