@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..runtime import shared_root, table
+from ..runtime import run_folder, table
 from ..streaming import incremental as I
 
 QUERIES, ORACLE = {}, {}
@@ -14,7 +14,7 @@ QUERIES, ORACLE = {}, {}
 
 def _fresh(spark, name: str) -> tuple[str, str]:
     tag = uuid.uuid4().hex
-    return f"{name}_{tag}", f"{shared_root(spark)}/verbena/{name}-{tag}"
+    return f"{name}_{tag}", f"{run_folder(spark)}/{name}-{tag}"
 
 
 def running_first_seen(spark, sf_dir):

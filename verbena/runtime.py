@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows a side may have to be broadcast; beyond it, joins are shuffled and salted.
 BROADCAST_ROWS = 200_000
@@ -22,20 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own in local mode, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root
+        return root.rstrip("/")
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "verbena-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "verbena-checkpoints")
 
 
 _cleaned: set[str] = set()
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     """This application's folder below the shared root; it is removed as the driver's Python ends."""
     sc = spark.sparkContext
     folder = f"{shared_root(spark)}/verbena/{sc.applicationId}"
@@ -53,13 +57,36 @@ def _remove(sc, folder: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Cut lineage by a written table in the shared folder, which survives the loss of executors."""
+def materialise(df: DataFrame, label: str, partition_by: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+    """Cut lineage by a written table in the shared folder (or ``folder``), which survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    cols = [c for c in df.columns if c not in partition_by] + list(partition_by)
-    return spark.read.schema(df.select(*cols).schema).parquet(path).select(*df.columns)
+    return written(spark, path, df.schema, partition_by)
+
+
+def written(spark: SparkSession, path: str, schema: StructType, partition_by: Sequence[str] = ()) -> DataFrame:
+    """A table as ``materialise`` left it; its path is kept for ``discard``."""
+    ordered = StructType([f for f in schema if f.name not in partition_by] + [schema[c] for c in partition_by])
+    got = spark.read.schema(ordered).parquet(path).select(*schema.names)
+    got.written_at = path
+    return got
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "written_at", None)
+        if path:
+            _remove(t.sparkSession.sparkContext, path)
+
+
+def parts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes per folder name (``column=value``) right below a written table."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(root) if s.isDirectory() and "=" in s.getPath().getName()}
 
 
 def at_most(df: DataFrame, n: int) -> bool:
