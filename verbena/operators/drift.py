@@ -33,8 +33,10 @@ from .windows import numbered
 KEPT = 512
 #: Least weight of a matched pair.
 LEAST = 0.42
-#: Files in which two unrelated names should have met before their never meeting counts as evidence.
-EXPECTED = 3.0
+#: Files in which two names should have met before their never meeting counts in full, and what it then adds.
+EXPECTED, APART = 3.0, 0.1
+#: Likeness of the values of two boolean fields.
+SAME_BOOLEAN = 0.42
 MISSING = "N/A"
 _KINDS = ["array", "boolean", "number", "object", "string"]
 _SERIES = ["producer", "feed"]
@@ -165,14 +167,12 @@ def weight(a, b) -> float:
         return name if name >= 0.6 else 0.0
     if not ka & kb:
         return name if name >= 0.9 else 0.0
-    like = content_likeness(a, b)
     if (ka & kb) <= {"number", "boolean"}:  # their values say little
-        if name >= 0.3:
-            return 0.65 * name + 0.8 * like
-        # By chance, names so frequent would have met in a file; that they never do says that one replaces the other.
-        apart = a.n_files * b.n_files >= EXPECTED * a.n_total
-        return LEAST + 0.2 * like if apart and (like >= 0.42 or ka & kb == {"boolean"}) else 0.0
-    return 0.45 * name + 0.75 * like
+        like = SAME_BOOLEAN if ka & kb == {"boolean"} else content_likeness(a, b)
+        # By chance, names so frequent would have met in a file; that they never do is some evidence that one replaces the other.
+        apart = min(1.0, a.n_files * b.n_files / max(1.0, EXPECTED * a.n_total))
+        return 0.65 * name + 0.8 * like + APART * apart
+    return 0.45 * name + 0.75 * content_likeness(a, b)
 
 
 def best_matching(w: np.ndarray) -> list[tuple[int, int]]:
@@ -180,31 +180,27 @@ def best_matching(w: np.ndarray) -> list[tuple[int, int]]:
     n, m = w.shape
     if n > m:
         return [(i, j) for j, i in best_matching(w.T)]
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    cost = -w
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)  # place 0 stands for none
+    cost = np.zeros((n + 1, m + 1))
+    cost[1:, 1:] = -w
     for i in range(1, n + 1):
         owner[0], j0 = i, 0
         low, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
         while owner[j0]:
             used[j0] = True
-            i0, step, j1 = owner[j0], np.inf, 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = cost[i0 - 1, j - 1] - u[i0] - v[j]
-                    if c < low[j]:
-                        low[j], way[j] = c, j0
-                    if low[j] < step:
-                        step, j1 = low[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[owner[j]] += step
-                    v[j] -= step
-                else:
-                    low[j] -= step
+            free = np.flatnonzero(~used)
+            c = cost[owner[j0], free] - u[owner[j0]] - v[free]
+            better = c < low[free]
+            low[free[better]], way[free[better]] = c[better], j0
+            j1 = free[np.argmin(low[free])]
+            step = low[j1]
+            u[owner[used]] += step
+            v[used] -= step
+            low[free] -= step
             j0 = j1
         while j0:
             owner[j0], j0 = owner[way[j0]], way[j0]
-    return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] and w[owner[j] - 1, j - 1] > 0]
+    return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] and w[owner[j] - 1, j - 1] > 0]
 
 
 def _match(rows: pd.DataFrame) -> pd.DataFrame:
