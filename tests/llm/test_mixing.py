@@ -60,3 +60,11 @@ def test_schedule_and_empty(spark):
     assert len(got) == 60 and all((r.position < 0.5) == (r.source == "a") for r in got)
     e = d.limit(0)
     assert mix(e, t).count() == 0 and mix(d, t.limit(0)).count() == 0 and Mix(e, t).shares().count() == 2
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    d = spark.createDataFrame([(1, "uno dos", "a", 0, "x", 0), (1, "tres cuatro", "a", 0, "x", 0), (2, "cinco seis", "a", 0, "x", 0), (2, "cinco seis", "a", 0, "y", 1), (2, "cinco seis", "b", 0, "y", 1)], DOC)
+    t = spark.createDataFrame([("a", 1.0, 1, "x")], TARGET)
+    got = mix(d, t).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "tres cuatro"), (1, "uno dos"), (2, "cinco seis"), (2, "cinco seis")]
+    assert Mix(d, t).shares().first().repeats == pytest.approx(1)

@@ -17,7 +17,7 @@ ever sorted in one task.
 Defined results: documents with a null or unlisted source, or without tokens, are left out; a listed
 source without documents has share 0 and the others are scaled up; null or non-positive targets count
 as 0, null max_repeats as 1; each listed source has one target (the largest, if repeated); repeated
-doc_ids are separate documents; empty tables give empty results; other columns are ignored.
+doc_ids and repeated rows are separate documents; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +40,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str):
+def _encoder(vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -55,15 +54,24 @@ _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens); ``tokenizer``: path of a vocabulary of ranks, read by each worker."""
+    """(doc_id, source, own, n_tokens), one row per row. ``own`` tells texts under one doc_id apart.
+
+    ``tokenizer``: path of a vocabulary of ranks (about a megabyte); only the driver reads it, workers get it as a broadcast.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = _encoder(tokenizer)
+        e = _encoder(vocabulary.value)
         for pdf in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "own": pdf["own"], "n_tokens": n})
+
+    return documents.select("doc_id", "source", _own().alias("own"), "text").mapInPandas(run, "doc_id bigint, source string, own bigint, n_tokens int")
+
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens int")
+def _own() -> Column:
+    return F.xxhash64("source", "text")
 
 
 def allocate(have: dict[str, tuple[float, float]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -133,7 +141,8 @@ class Mix:
             raise ValueError("more than 100000 sources have a target; weights are a table of sources, not of documents")
         self.targets = {r.source: (float(r.w), int(r.r)) for r in targets.collect()}
         counts = token_counts(documents, tokenizer).filter(F.col("n_tokens") > 0)
-        self.counts = materialise(counts, "mix-tokens")
+        copies = counts.groupBy("doc_id", "source", "own", "n_tokens").agg(F.count("*").alias("copies"))
+        self.counts = materialise(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies"), "mix-tokens")
         have = {r.source: (float(r.t), float(r.n)) for r in self.counts.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).filter(F.col("source").isin(*self.targets) if self.targets else F.lit(False)).collect()}
         self.have, self.need = have, allocate(have, self.targets, total)
         whole = sum(self.need.values())
@@ -152,19 +161,19 @@ class Mix:
         self.seed = seed
 
     def positions(self) -> DataFrame:
-        """(doc_id, source, pass, n_tokens, position), unordered."""
+        """(doc_id, own, copy, source, pass, n_tokens, position), unordered."""
         small = F.broadcast(self.sizes)  # one row per source, counted above
         docs = self.counts.join(small, "source").withColumn("pass", F.explode(F.sequence(F.lit(1), "passes")))
-        docs = docs.withColumn("h", F.xxhash64("doc_id", "pass", F.lit(self.seed))).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets").cast("bigint")).cast("int"))
-        docs = spread(docs.select("doc_id", "source", "pass", "n_tokens", "need", "avail", "h", "bucket"), "source", "pass", "bucket")
-        inside = F.sum("n_tokens").over(Window.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+        docs = docs.withColumn("h", F.xxhash64("doc_id", "own", "copy", "pass", F.lit(self.seed))).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets").cast("bigint")).cast("int"))
+        docs = spread(docs.select("doc_id", "own", "copy", "source", "pass", "n_tokens", "need", "avail", "h", "bucket"), "source", "pass", "bucket")
+        inside = F.sum("n_tokens").over(Window.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id", "own", "copy").rowsBetween(Window.unboundedPreceding, 0))
         docs = materialise(docs.withColumn("upto", inside), "mix-order")
         sums = docs.groupBy("source", "pass", "bucket").agg(F.sum("n_tokens").alias("t"))
         before = sums.withColumn("before", F.sum("t").over(Window.partitionBy("source", "pass").orderBy("bucket")) - F.col("t")).drop("t")
         placed = docs.join(before, ["source", "pass", "bucket"]).withColumn("middle", (F.col("pass") - 1) * F.col("avail") + F.col("before") + F.col("upto") - F.col("n_tokens") / 2)
         placed = placed.filter("middle <= need")
         cut = placed.join(F.broadcast(self.plan), (placed["source"] == self.plan["source"]) & (F.col("middle") >= F.col("from")) & (F.col("middle") < F.col("to")))  # one segment each
-        return cut.select("doc_id", placed["source"].alias("source"), "pass", "n_tokens", invert(F.col("middle")).alias("position"))
+        return cut.select("doc_id", "own", "copy", placed["source"].alias("source"), "pass", "n_tokens", invert(F.col("middle")).alias("position"))
 
     def shares(self) -> DataFrame:
         """(source, target_share, actual_share, n_tokens, n_docs, repeats): of every listed source."""
@@ -179,6 +188,8 @@ def mix(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """The combined documents (position, doc_id, source, pass, n_tokens, text), sorted by position in ranges."""
     m = Mix(documents, targets, **options)
     placed = materialise(m.positions(), "mix-positions")
-    texts = documents.select("doc_id", "text")
-    got = placed.join(texts, "doc_id") if not placed.isEmpty() else placed.join(texts.limit(0), "doc_id")
-    return got.select("position", "doc_id", "source", "pass", "n_tokens", "text").repartitionByRange("position").sortWithinPartitions("position", "doc_id", "pass")
+    # Equal rows are one text with several copies, so no row meets a text twice.
+    texts = documents.select("doc_id", _own().alias("own"), "text").filter("text is not null").groupBy("doc_id", "own").agg(F.first("text").alias("text"))
+    got = placed.join(texts, ["doc_id", "own"]) if not placed.isEmpty() else placed.join(texts.limit(0), ["doc_id", "own"])
+    got = got.select("position", "doc_id", "source", "pass", "n_tokens", "text", "own", "copy")
+    return got.repartitionByRange("position").sortWithinPartitions("position", "doc_id", "pass", "own", "copy").drop("own", "copy")
