@@ -54,7 +54,38 @@ def test_scripts_without_spaces(spark):
 def test_empty_tables_and_short_items(spark):
     assert found(spark, []) == set()
     assert found(spark, ["a b c d"], []) == set()
-    assert found(spark, ["uno dos", "uno"], [(1, "uno dos", "x", "es"), (2, None, "x", "es"), (3, "", "x", "es")]) == set()
+    short = [(1, "uno dos", "x", "es"), (2, None, "x", "es"), (3, "", "x", "es"), (4, "¿Tres?", "x", "es"), (5, "七点", "x", "zh"), (6, "uno, DOS!", "x", "es")]
+    assert found(spark, ["uno dos", "uno", "a UNO  dós b tres", "dos uno", "接近七点八", None], short) == {(0, 1), (0, 6), (2, 1), (2, 6), (2, 4), (4, 5)}
+
+
+def test_one_foreign_sentence_of_any_length(spark):
+    s = ITEMS[2]
+    for n in (50, 60, 700):
+        assert found(spark, [f"{s[0]}. {s[1]}. {sentence(n)}. {s[2]}. {s[3]}."]) == {(0, 2)}
+    half = sentence(30)
+    assert found(spark, [f"{s[0]}. {s[1]}. {half}. {sentence(30)}. {half}. {s[2]}."]) == set()
+
+
+def test_scan_equals_brute_force():
+    """The vectorised probe meets exactly the windows that equal one of the item's."""
+    rnd = random.Random(3)
+    words = ["uno", "Dós", "tres", "七", "点", "ก", "cinco", "ﬁn", "ñu"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 40))) for _ in range(40)]
+    ix = L.Index([(i, t) for i, t in enumerate(texts[:8])])
+    for t in texts[8:]:
+        tokens, weights, spans = L.tokenise(t)
+        ids = L.np.array([ix.vocabulary.get(x, -1) for x in tokens])
+        starts, lengths, _ = L.windows(ids, L.np.array(weights))
+        want = []
+        for k in range(len(tokens)):
+            e, w = k, 0
+            while e < len(tokens) and w < L.GRAM:
+                w += weights[e]
+                e += 1
+            if w >= L.GRAM and all(x in ix.vocabulary for x in tokens[k:e]):
+                want.append((k, e - k))
+        assert list(zip(starts.tolist(), lengths.tolist())) == want
+        assert all(L._fold(t[a:b]) == x for x, (a, b) in zip(tokens, spans))
 
 
 def test_cutting_out(spark):

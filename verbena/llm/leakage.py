@@ -1,24 +1,26 @@
 """Find evaluation texts inside a training corpus.
 
-The n-grams of the normalised test texts go into a hash index that is broadcast; its size is checked
-first, and a larger test set is worked off in blocks. One pass over the corpus slides over each
-document's tokens, collects the grams that hit, chains them in both orders and verifies how much of the
-item the passage holds. No document is shuffled.
+The n-grams of the normalised test texts become 64-bit hashes in one sorted array, which is broadcast; its size
+is known before it is built (some 16 bytes a gram), and a test set beyond the bound is worked off in blocks. A scan
+of the corpus folds and tokenises many documents at once, hashes all their windows in vector operations, and probes
+the array. The grams that hit are verified token by token, chained in both orders, and the share of the item that
+the passage holds is measured. No document is shuffled, and the scan leaves no window out.
 
 Tokens are words without case, accents and punctuation, or single characters in scripts without spaces.
 
 Defined results: null or empty documents and items give no row; a document may hold several items, an
-item may stand in many documents; repeated documents each give their rows; items shorter than one gram
-are never found; an empty item table gives an empty result; other columns are ignored.
+item may stand in many documents; repeated documents each give their rows; an item shorter than one gram
+is found where all its tokens stand side by side; an empty item table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -30,93 +32,151 @@ from ..runtime import checked_join, materialise
 SHARE, HITS = 0.6, 0.22
 #: Weight of a gram: words weigh 2, characters 1.
 GRAM = 6
-#: Longest foreign stretch within a passage, in weight.
-GAP = 110
+#: Longest foreign stretch within a passage, in weight, and the sentence ends in a longer one: those of the sentence before it and its own.
+GAP, STOPS = 110, 2
 #: Longest stretch of replaced or misspelt words between two hits that still counts as covered, in tokens.
 SLIP = 9
-#: Characters of test text per broadcast index.
-BLOCK_CHARS = 20_000_000
+#: Characters of test text per broadcast index, and of documents that are tokenised at once.
+BLOCK_CHARS, CHUNK_CHARS = 40_000_000, 2_000_000
 
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_TOKEN = regex.compile(rf"[{_UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{N}}\p{{M}}]--[{_UNSPACED}]]+", regex.V1)
-
-
+_TOKEN = regex.compile(rf"\x00|[{_UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{N}}\p{{M}}]--[{_UNSPACED}]]+", regex.V1)
 _MARKS = regex.compile("[\u0300-\u036f\u064b-\u065f]+")
+_SINGLE = regex.compile(rf"[{_UNSPACED}]")
+_STOP = regex.compile(r"(?<=[\p{L}\p{M}]{4}|\p{N}|[\p{Han}\p{Hiragana}\p{Katakana}])[.!?…][^\p{L}\p{N}]*\s(?!\s*\p{Ll})|[。！？।॥؟۔｡]|(?<=\p{Thai})\s+(?=\p{Thai})|\n\s*\n")
 
 
-@lru_cache(maxsize=200_000)
-def _fold(token: str) -> str:
-    if token.isascii():
-        return token.lower()
-    return _MARKS.sub("", unicodedata.normalize("NFKD", token.casefold())) or token
-
-
-_SINGLE = regex.compile(rf"[{_UNSPACED}]")
+def _fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
 
 
 def tokenise(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
     """Folded tokens, their weights, and their places in the text."""
-    found = [(m.group(), m.span()) for m in _TOKEN.finditer(text)]
-    return [_fold(t) for t, _ in found], [1 if _SINGLE.match(t) else 2 for t, _ in found], [s for _, s in found]
-
-
-def screened(text: str) -> list[tuple[str, ...]]:
-    """The grams of a text that is folded as a whole: those of ``tokenise`` but for rare characters, many times faster."""
-    s = text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
-    tokens = _TOKEN.findall(s)
-    return grams(tokens, [1 if _SINGLE.match(t) else 2 for t in tokens] if _SINGLE.search(s) else [])
-
-
-def grams(tokens: list[str], weights: list[int]) -> list[tuple[str, ...]]:
-    """At each place the shortest run of tokens that weighs GRAM; the last places have none."""
-    if min(weights, default=2) == 2:
-        return list(zip(tokens, tokens[1:], tokens[2:]))
-    out, n = [], len(tokens)
-    for k in range(n):
-        w, e = 0, k
-        while e < n and w < GRAM:
-            w += weights[e]
-            e += 1
-        if w < GRAM:
-            break
-        out.append(tuple(tokens[k:e]))
-    return out
+    text = text.replace("\x00", " ")
+    folded = _fold(text)
+    found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(folded)]
+    weights = [1 if _SINGLE.match(t) else 2 for t, _, _ in found]
+    if text.isascii():
+        return [t for t, _, _ in found], weights, [(s, e) for _, s, e in found]
+    origin = np.repeat(np.arange(len(text)), [len(_fold(c)) for c in text])  # folding a text gives as many characters as folding each of its own
+    return [t for t, _, _ in found], weights, [(int(origin[s]), int(origin[e - 1]) + 1) for _, s, e in found]
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of ids."""
+    h = lengths.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(lengths.max(initial=0))):
+            more = lengths > i
+            step = (h ^ (h >> np.uint64(29))) * _BASE + ids[np.minimum(starts + i, len(ids) - 1)].astype(np.uint64)
+            h = np.where(more, step, h)
+    return h
+
+
+def windows(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash) of the shortest run that weighs GRAM at each place; runs with an unknown token (id below 0) are none."""
+    known = ids >= 0
+    cum = np.concatenate([[0], np.cumsum(weights)])
+    starts = np.flatnonzero(known)
+    ends = np.searchsorted(cum, cum[starts] + GRAM)
+    ok = ends <= len(ids)
+    starts, ends = starts[ok], ends[ok]
+    gaps = np.concatenate([[0], np.cumsum(~known)])
+    ok = gaps[ends] == gaps[starts]
+    starts, ends = starts[ok], ends[ok]
+    return starts, ends - starts, _runs(ids, starts, ends - starts)
 
 
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
-        self.place: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        self.items: dict[int, tuple[list[str], int]] = {}  # tokens, number of grams
-        for item, text in items:
+        self.ids, self.words, self.weights = [], [], []
+        self.vocabulary: dict[str, int] = {}
+        parts, small = [], []
+        for n, (item, text) in enumerate(items):
             tokens, weights, _ = tokenise(text)
-            g = grams(tokens, weights)
-            self.items[item] = (tokens, len(g))
-            for k, x in enumerate(g):
-                self.place[x].append((item, k))
-        self.place = dict(self.place)
-
-    def find(self, text: str) -> Iterator[tuple[int, float, int, int]]:
-        """(item, share, first character, end) of each item the text holds."""
-        rough = Counter(item for x in self.place.keys() & set(screened(text)) for item in {i for i, _ in self.place[x]})
-        if not any(n >= 0.8 * HITS * self.items[i][1] for i, n in rough.items()):
-            return
+            self.ids.append(item)
+            self.words.append(tokens)
+            codes = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens], np.int64)
+            starts, _, h = windows(codes, np.array(weights, np.int64))
+            parts.append((h, np.full(len(h), n, np.int32), starts.astype(np.int32)))
+            if tokens and not len(h):
+                one = np.array([len(tokens)])
+                small.append((_runs(codes, np.array([0]), one)[0], n, len(tokens)))
+        self.n_grams = np.array([len(h) for h, _, _ in parts], np.int64)
+        self.heavy = np.array([1 if _SINGLE.match(t) else 2 for t in self.vocabulary] + [2], np.int64)  # the last for unknown tokens
+        keys, item, place = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(3))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.place = keys[order], item[order], place[order]
+        self.small = {k: np.sort(np.array([h for h, _, m in small if m == k], np.uint64)) for k in {m for _, _, m in small}}  # by length
+        self.small_items: dict[int, list[int]] = defaultdict(list)
+        for h, n, _ in small:
+            self.small_items[int(h)].append(n)
+
+    def scan(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(number of the text, item, share, first character, end) of each item each text holds."""
+        tokens = _TOKEN.findall("\x00".join(_fold(t.replace("\x00", " ")) for t in texts))
+        ids = np.fromiter((self.vocabulary.get(t, -1) for t in tokens), np.int64, len(tokens))
+        doc_of = np.cumsum(np.fromiter((t == "\x00" for t in tokens), np.int64, len(tokens)))
+        starts, _, h = windows(ids, self.heavy[ids])
+        lo, hi = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, side="right")
+        met = np.flatnonzero(hi > lo)
+        n = hi[met] - lo[met]
+        at = np.repeat(lo[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, item, place = np.repeat(doc_of[starts[met]], n), self.item[at].astype(np.int64), self.place[at].astype(np.int64)
+        if len(at):
+            cells = np.unique(np.stack([doc, item, place]), axis=1)
+            pairs, count = np.unique(cells[:2], axis=1, return_counts=True)
+            enough = count >= HITS * self.n_grams[pairs[1]]
+            wanted: dict[int, list[int]] = defaultdict(list)
+            for d, i in pairs[:, enough].T.tolist():
+                wanted[d].append(i)
+            for d, some in wanted.items():
+                mine = doc == d
+                yield from ((d, *hit) for hit in self._verify(texts[d], some, np.repeat(starts[met], n)[mine] - int(np.searchsorted(doc_of, d)) - (d > 0), item[mine], place[mine]))
+        for k, keys in self.small.items():
+            yield from self._whole(texts, ids, doc_of, k, keys)
+
+    def _whole(self, texts: list[str], ids: np.ndarray, doc_of: np.ndarray, k: int, keys: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """Items of k tokens that are shorter than a gram."""
+        gaps = np.concatenate([[0], np.cumsum(ids < 0)])
+        starts = np.flatnonzero(gaps[k:] == gaps[: len(gaps) - k]) if len(ids) >= k else np.zeros(0, np.int64)
+        h = _runs(ids, starts, np.full(len(starts), k)) if len(starts) else np.zeros(0, np.uint64)
+        place = np.searchsorted(keys, h)
+        hit = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == h)
+        done = set()
+        for s, x in zip(starts[hit].tolist(), h[hit].tolist()):
+            d = int(doc_of[s])
+            for n in self.small_items[x]:
+                if (d, n) not in done:
+                    done.add((d, n))
+                    tokens, _, spans = tokenise(texts[d])
+                    j = s - int(np.searchsorted(doc_of, d)) - (d > 0)
+                    if tokens[j : j + k] == self.words[n]:
+                        yield d, self.ids[n], 1.0, spans[j][0], spans[j + k - 1][1]
+
+    def _verify(self, text: str, wanted: list[int], at: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         tokens, weights, spans = tokenise(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j, x in enumerate(grams(tokens, weights)):
-            for item, k in self.place.get(x, ()):
-                hits[item].append((j, k))
-        ends = None
-        for item, pairs in hits.items():
-            words, n = self.items[item]
-            if len({k for _, k in pairs}) < HITS * n:
-                continue
-            if ends is None:
-                ends = [0]
-                for w in weights:
-                    ends.append(ends[-1] + w)
-            best = _chain(pairs, words, tokens, ends, weights)
+        ends = [0]
+        for w in weights:
+            ends.append(ends[-1] + w)
+        begins = [s for s, _ in spans]
+        stops = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(stops, np.searchsorted(begins, [m.start() for m in _STOP.finditer(text)]), 1)  # before the token that follows
+        stops = np.cumsum(stops)
+        for n in wanted:
+            words = self.words[n]
+            pairs = sorted((int(j), int(k)) for j, k in zip(at[item == n], place[item == n]) if tokens[j : j + 3] == words[k : k + 3])
+            best = _chain(pairs, words, tokens, ends, weights, stops) if len({k for _, k in pairs}) >= HITS * self.n_grams[n] else None
             if best and best[0] >= SHARE - 1e-9:
-                yield item, best[0], spans[best[1]][0], spans[min(best[2], len(spans)) - 1][1]
+                yield self.ids[n], best[0], spans[best[1]][0], spans[min(best[2], len(spans)) - 1][1]
+
+    def find(self, text: str) -> Iterator[tuple[int, float, int, int]]:
+        return ((i, *rest) for _, i, *rest in self.scan([text]))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -156,8 +216,12 @@ def _reach(a: list[str], b: list[str]) -> int:
     return got
 
 
-def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], ends: list[int], weights: list[int]) -> tuple[float, int, int] | None:
-    """Best chain of diagonal runs, as (covered share of the item, first and end token of the passage)."""
+def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], ends: list[int], weights: list[int], stops: np.ndarray) -> tuple[float, int, int] | None:
+    """Best chain of diagonal runs, as (covered share of the item, first and end token of the passage).
+
+    Between two runs at most GAP of foreign text may stand, or any one sentence: of the runs further back only the best one
+    per place in the item can matter, so those are kept in queues from which they leave as a further sentence ends.
+    """
     lengths = [len(w) for w in words]
     runs: dict[tuple[int, int], list[int]] = {}
     open_runs: dict[int, tuple[int, int]] = {}
@@ -187,17 +251,24 @@ def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], en
     total = place[-1] or 1
     state: list[tuple[int, int]] = []  # covered characters, first block
     best = (0, 0, 0, 0)
+    far: dict[int, deque[tuple[int, int, int]]] = defaultdict(deque)  # per end in the item: (covered, place in the document, first block), best first
+    waiting = 0  # blocks from here on are still near
     for n, (j, e, k, f) in enumerate(blocks):
         f = min(f, len(lengths))
         top, first = place[f] - place[k], n
-        for p in range(n - 1, -1, -1):
+        while waiting < n and ends[j] - ends[blocks[waiting][0]] > reach:
+            _, pe, pk, pf = blocks[waiting]
+            queue, got = far[pf], state[waiting]
+            while queue and queue[-1][0] <= got[0] and queue[-1][1] <= pe:
+                queue.pop()
+            queue.append((got[0], pe, got[1]))
+            waiting += 1
+        for p in range(n - 1, waiting - 1, -1):
             pj, pe, pk, pf = blocks[p]
-            if ends[j] - ends[pj] > reach:  # earlier blocks end too far before this one
-                break
             if pk >= k or pj >= j or pe > e or pf > f:
                 continue
             a, b = max(k, pf), max(j, pe)
-            if b > pe and ends[b] - ends[pe] > GAP:
+            if b > pe and ends[b] - ends[pe] > GAP and stops[b] - stops[pe] > STOPS:
                 continue
             gain = place[f] - place[max(k, pf)]
             lost, extra = a - pf, b - pe
@@ -207,6 +278,12 @@ def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], en
                 gain += place[a] - place[pf]
             if state[p][0] + gain > top:
                 top, first = state[p][0] + gain, state[p][1]
+        for pf in range(max(0, k - SLIP), k + 1) if far else ():
+            queue = far.get(pf)
+            while queue and stops[j] - stops[queue[0][1]] > STOPS:
+                queue.popleft()
+            if queue and queue[0][0] + place[f] - place[k] > top:
+                top, first = queue[0][0] + place[f] - place[k], queue[0][2]
         state.append((top, first))
         if top > best[0]:
             best = (top, first, n, f)
@@ -220,13 +297,28 @@ def _chain(pairs: list[tuple[int, int]], words: list[str], tokens: list[str], en
     return top / total, max(0, j - before), min(len(tokens), blocks[last][1] + after)
 
 
+def _chunks(texts: list[str | None]) -> Iterator[list[int]]:
+    """Numbers of the non-empty texts, in groups of at most CHUNK_CHARS (a longer text alone)."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            if group and size + len(t) > CHUNK_CHARS:
+                yield group
+                group, size = [], 0
+            group.append(i)
+            size += len(t)
+    if group:
+        yield group
+
+
 def _scan(documents: DataFrame, index: Index) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for pdf in batches:
-            rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for hit in ix.find(t)]
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            rows = [(ids[group[d]], *hit) for group in _chunks(texts) for d, *hit in ix.scan([texts[i] for i in group])]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start_char", "end_char"])
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, share double, start_char int, end_char int")
@@ -235,7 +327,7 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
 def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, share, start_char, end_char) of every document that holds at least SHARE of an item's text as one passage.
 
-    documents: doc_id, text; items: item_id, text.
+    documents: doc_id, text; items: item_id, text. A test set of more than ``block_chars`` characters takes a scan per block.
     """
     items = items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("bigint"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -243,7 +335,8 @@ def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
     out = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        found = _scan(documents, Index(sorted((r.item_id, r.text) for r in mine.collect())))
+        found = _scan(documents, Index(sorted((r.item_id, r.text) for r in mine.collect())))  # at most a block of test text
+        found = found if blocks == 1 else materialise(found, "leaks-block")
         out = found if out is None else out.unionByName(found)
     return out
 
