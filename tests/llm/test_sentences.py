@@ -1,5 +1,6 @@
+import numpy as np
 import pytest
-from conftest import MEDIUM
+from conftest import MEDIUM, SMALL
 from verbena.llm import sentences as S
 
 
@@ -67,3 +68,17 @@ def test_nulls_empty_long_and_no_training(spark):
     got = [(r.doc_id, r.start_char, r.end_char) for r in S.sentences(spark.createDataFrame(data, schema)).collect()]
     assert sorted(x for x in got if x[0] == 4) == [(4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9)]
     assert [x for x in got if x[0] == 5] == [(5, 0, 40_000 * 8 - 1)] and not [x for x in got if x[0] < 4]
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one, many = d.repartition(1), d.repartition(16)
+    a, b = S.statistics(one), S.statistics(many)
+    assert a.known == b.known and a.rate == b.rate
+    assert np.array_equal(S.fit(one, a), S.fit(many, a))
+
+
+def test_long_words(splitter):
+    url = "http://a.b/" + "c.d/" * 3_000 + "fin"
+    text = f"Está en {url}. Luego sigue. X{'x' * 20_000}. Otra vez."
+    assert cut(splitter, text) == [f"Está en {url}.", "Luego sigue.", f"X{'x' * 20_000}.", "Otra vez."]

@@ -1,19 +1,22 @@
 """Sentence units of texts in many languages and scripts.
 
 A text falls into blocks at blank lines: lists (each marked line a unit), headings, and prose. In prose
-every terminator with its closing quotation marks, and in Thai every space between Thai words, is a
+every terminator with its closing quotation marks, and in Thai every space beside a Thai word, is a
 candidate boundary; a maximum-entropy model decides on it by the tokens around it, their case, length,
-figures and script. The corpus itself gives the labels: ends of blocks joined to the beginning of the
-next one, words that a small letter follows, abbreviations (frequent before a period, never at a block's
-end), units (after figures), capitals that never stand inside a sentence.
+figures and script. It learns from reliable boundaries: ends of blocks joined to the beginning of the next
+one are boundaries; no boundary is what a small letter follows, a period after an abbreviation (frequent
+before a period, next to never at a block's end) and a Thai space beside figures or foreign words.
 
-Token statistics and weights are hashed into arrays of fixed size, so what is broadcast does not grow
-with the corpus. The statistics cover all documents; the model is fitted on the labelled candidates of
-at most SAMPLE documents, those of the least hashes. The corpus is read twice and never shuffled.
+Token statistics are counted exactly over all documents, in SQL; tokens that make up less than SHARE of their
+kind are not told apart from unknown ones, so what is broadcast is bounded (1 / SHARE tokens a kind) and means
+the same at every size. The model is fitted on the candidates of at most SAMPLE documents, those of the least
+hashes, whatever the partitioning; a pattern weighs as much as it occurs, up to REPEATS. The texts are
+read three times (statistics, sample, cutting), the ids once more, and nothing but token counts is shuffled.
 
 Defined results: null and blank texts have no unit; units never hold outer white space and together hold
 every other character; a text without any terminator is one unit per block; repeated documents each
-give their units; an empty table gives an empty result; other columns are ignored.
+give their units; an empty table gives an empty result; other columns are ignored; of a word of more than
+LONGEST characters the nearest LONGEST count.
 """
 
 from __future__ import annotations
@@ -31,22 +34,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 #: Documents whose labelled candidates train the model.
 SAMPLE = 6000
-#: Slots of the token statistics and of the weights.
-SLOTS, WEIGHTS = 1 << 17, 1 << 16
+#: Most times that equal labelled candidates of the sample count in the fit.
+REPEATS = 20
+#: Slots of the weights, least share of its kind's tokens that a token has to be known, characters of a word.
+WEIGHTS, SHARE, LONGEST = 1 << 16, 4e-6, 4096
 #: Expected block ends of a token that has none before it counts as an abbreviation.
 EXPECTED = 3.0
 
+_ENDS = frozenset(".!?…。！？।॥؟۔｡\"'”»」』)’")
 _BLANK = regex.compile(r"\n[^\S\n]*\n\s*")
 _BULLET = regex.compile(r"\s*(?:[-•*–·▪◦‣]|\p{N}{1,3}[.)）]|[①-⑳])\s+")
 _TERMS = r".!?…。！？।॥؟۔｡"
 _FULL = "。！？।॥؟۔｡"
+_STOPS = "。।॥۔｡"
 _CLOSERS = r"”»」』\"'’)\]›“》）"
 _STOP = regex.compile(rf"(?P<term>[{_TERMS}]+(?:[   ][!?]+)?)(?P<close>(?:[   ]?»|[{_CLOSERS}])*)(?P<gap>\s*)")
 _CLOSED = regex.compile(rf"(?P<term>[{_TERMS}]+)(?P<close>(?:\s{{0,2}}»|[{_CLOSERS}])+)")
 _MORE = frozenset(("", ".", "!", "?", "…"))
-_THAI = regex.compile(r"(?<=\p{Thai})(\s+)(?=\p{Thai})")
+_THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\S)|(?<=\S)\s+(?=\p{Thai})")
 _TO_FOREIGN = regex.compile(r"(?<=\p{Thai})(\s+)(?=[«“\"¿¡(]?\p{Lu}\p{Ll}*(?:\s+[^\s\p{Thai}]+){3,}?[.!?…][”»\"]?(?:\s|$))")
 _HAS_THAI = re.compile("[\u0e01-\u0e5b]")
 _OPENERS = "«“„\"‘‚「『¿¡《（‹"
@@ -63,10 +72,6 @@ _CAPITAL_INSIDE = regex.compile(r"(?<=[\p{L}\p{N},;)\]»”]\s)\p{Lu}[\p{L}\p{M}
 _TRIM = "([{«“„\"'‘‚「『¿¡《（‹—–-"
 
 
-def slot(kind: str, token: str) -> int:
-    return crc32(f"{kind}\t{token}".encode()) % SLOTS
-
-
 @dataclass(slots=True)
 class Block:
     start: int
@@ -106,14 +111,30 @@ class Candidate:
     term: str
     close: str
     gap: bool
-    tail: str  # what follows, up to 60 characters
+    tail: str  # the token that follows, and the character after it
+    foreign: bool = False  # a sentence in another script follows
+
+
+_NEXT = re.compile(rf"\S{{1,{LONGEST}}}\s*\S?")
+
+
+def _tail(text: str, at: int, hi: int) -> str:
+    m = _NEXT.match(text, at, hi)
+    return m.group() if m else ""
 
 
 def _left(text: str, lo: int, at: int) -> tuple[str, str]:
-    part = text[max(lo, at - 60) : at]
-    if not part or part[-1].isspace():
+    """The word before a place and the token before it."""
+    if at <= lo or text[at - 1].isspace():
         return "", ""
-    got = part.rsplit(None, 2)
+    size = 64
+    while True:
+        start = max(lo, at - size)
+        got = text[start:at].rsplit(None, 2)
+        if start == lo or len(got) > 2 or size >= 2 * LONGEST:
+            break
+        size *= 4
+    got[-1] = got[-1][-LONGEST:]
     word = got[-1].lstrip(_TRIM)
     if "." in word or "!" in word or "?" in word:
         word = _GLUED.sub("", word)
@@ -141,18 +162,22 @@ def candidates(text: str, block: Block) -> Iterator[Candidate]:
         gap = start > end
         if nxt in ",;:)]）、，；：.%":
             continue
-        word, before = _left(text, lo, m.start())
         term = m["term"]
-        if not gap and term[-1] not in _FULL:
-            if not (nxt.isupper() or nxt in _OPENERS) or "." in word or (len(word) < 2 and not close) or not (word[-1:].islower() or word[-1:].isdigit() or close or term[-1] in "!?…"):
+        loose = not gap and term[-1] not in _FULL
+        if loose and not (nxt.isupper() or nxt in _OPENERS):
+            continue
+        word, before = _left(text, lo, m.start())
+        if loose:
+            if "." in word or (len(word) < 2 and not close) or not (word[-1:].islower() or word[-1:].isdigit() or close or term[-1] in "!?…"):
                 continue
             if word[-1:].isdigit() and nxt.isupper() and not close and term == "." and len(word) < 3:
                 continue
-        yield Candidate(end, word, before, term, close, gap, text[start : min(hi, start + 60)])
+        yield Candidate(end, word, before, term, close, gap, _tail(text, start, hi))
     if _HAS_THAI.search(text, lo, hi):
-        for pat in (_THAI, _TO_FOREIGN):
-            for m in pat.finditer(text, lo, hi):
-                yield Candidate(m.start(), text[max(lo, m.start() - 4) : m.start()], "", "", "", True, text[m.end() : min(hi, m.end() + 60)])
+        foreign = {m.start() for m in _TO_FOREIGN.finditer(text, lo, hi)}
+        for m in _THAI.finditer(text, lo, hi):
+            if text[m.start() - 1] not in _ENDS:  # a terminator is a candidate of its own
+                yield Candidate(m.start(), text[max(lo, m.start() - 4) : m.start()], "", "", "", True, _tail(text, m.end(), hi), m.start() in foreign)
 
 
 class Counts:
@@ -186,16 +211,11 @@ class Counts:
                     n["cluster"][key] += 1
                     n["cluster_end"][key] += at >= len(body)
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        got: Counter = Counter()
-        for k, kind in enumerate(self.KINDS):
-            base = kind.removesuffix("_end") if kind.endswith("_end") else {"after_number": "all", "cap_inside": "cap"}.get(kind, kind)
-            for token, c in self.n[kind].items():
-                got[(k, slot(base, token))] += c
-        total = Counter()
-        for (k, _), c in got.items():
-            total[k] += c
-        return [(k, s, c) for (k, s), c in got.items()] + [(k, -1, c) for k, c in total.items()]
+    def rows(self) -> list[tuple[str, str, int]]:
+        return [(kind, token, c) for kind, counter in self.n.items() for token, c in counter.items()]
+
+    def __len__(self) -> int:
+        return sum(map(len, self.n.values()))
 
 
 _SCRIPTS = tuple((name, regex.compile(pat)) for name, pat in (("latin", r"\p{Latin}"), ("han", r"\p{Han}"), ("hira", r"\p{Hiragana}"), ("kata", r"\p{Katakana}"), ("thai", r"\p{Thai}"), ("deva", r"\p{Devanagari}"), ("arab", r"\p{Arabic}")))
@@ -210,39 +230,36 @@ def script(c: str) -> str:
 
 
 class Statistics:
-    def __init__(self, rows: list[tuple[int, int, int]]):
-        self.n = np.zeros((len(Counts.KINDS), SLOTS), np.float32)
-        self.total = np.zeros(len(Counts.KINDS))
-        for k, s, c in rows:
-            if s < 0:
-                self.total[k] += c
-            else:
-                self.n[k, s] = c
-        self.rate = min(0.5, max(0.05, self.total[1] / max(1.0, self.total[0])))
+    """known: (base kind, token) -> (count, count of the special case); totals: stops and those at block ends."""
+
+    def __init__(self, known: dict[str, dict[str, tuple[int, int]]], stops: int = 0, stop_ends: int = 0):
+        self.known = {k: known.get(k, {}) for k in _SPECIAL}
+        self.rate = min(0.5, max(0.05, stop_ends / max(1.0, stops)))
 
     def ending(self, word: str) -> str:
         """How often the word, before a period, ends a block: never, seldom, as others, or unknown."""
         if _NUMBER.match(word):
             return "number"
-        s = slot("stop", word)
-        n, e = self.n[0, s], self.n[1, s]
-        if e == 0:
+        n, e = self.known["stop"].get(word, (0, 0))
+        if e <= 0.02 * n * self.rate:
             return "never" if n * self.rate >= EXPECTED else "few"
         return "seldom" if e / n < 0.12 * self.rate else "often"
 
     def unit(self, word: str) -> bool:
-        s = slot("all", word)
-        return 0 < len(word) <= 4 and self.n[2, s] >= 10 and self.n[3, s] >= 0.8 * self.n[2, s]
+        n, after = self.known["all"].get(word, (0, 0))
+        return n >= 10 and after >= 0.8 * n
 
     def inside(self, word: str) -> str:
-        s = slot("cap", word)
-        n, c = self.n[4, s], self.n[5, s]
+        n, c = self.known["cap"].get(word, (0, 0))
         return "rare" if n < 4 else "inside" if c > 0.03 * n else "first"
 
     def cluster(self, term: str, close: str, left: str) -> str:
-        s = slot("cluster", f"{term[-1]}{close}|{left}")
-        n, e = self.n[6, s], self.n[7, s]
-        return "never" if e == 0 and n * self.rate >= EXPECTED else "ends"
+        n, e = self.known["cluster"].get(f"{term[-1]}{close}|{left}", (0, 0))
+        return "never" if e <= 0.02 * n * self.rate and n * self.rate >= EXPECTED else "ends"
+
+
+#: Of each kind of count, the one of its special cases.
+_SPECIAL = {"stop": "stop_end", "all": "after_number", "cap": "cap_inside", "cluster": "cluster_end"}
 
 
 def following(tail: str, st: Statistics) -> str:
@@ -272,6 +289,11 @@ _UPPER = ("cap_first", "cap_inside", "cap_rare")
 _CASELESS = ("han", "hira", "kata", "thai", "deva", "arab")
 
 
+def _side(c: str) -> str:
+    s = script(c) if c else "none"
+    return s if s in ("thai", "digit") else "open" if c in _OPENERS else "foreign"
+
+
 def shape(word: str) -> str:
     if not word:
         return "none"
@@ -288,48 +310,33 @@ def describe(c: Candidate, st: Statistics) -> tuple[list[str], int | None]:
     """Features, and the label where the corpus gives one."""
     nxt = following(c.tail, st)
     if not c.term:
-        return [f"thai:{nxt}", f"thai_left:{c.word[-2:]}"], 1
+        left, right = _side(c.word[-1:]), "foreign_sentence" if c.foreign else _side(c.tail[:1])
+        f = [f"thai:{left}:{right}", f"thai_left:{left}:{c.word[-2:]}", f"thai_right:{right}:{c.tail[:2]}", f"thai_long:{right}:{min(3, len(c.tail) // 8)}"]
+        return f, 0 if not c.foreign and (left, right) != ("thai", "thai") else None
     end, unit, sh = st.ending(c.word), st.unit(c.word), shape(c.word)
     if len(c.word) > 1 and c.word.isupper():  # all in capitals: the small form is better known
         small = st.ending(c.word.lower())
         end = end if small == "few" else small
-    kind = "full" if c.term[-1] in _FULL else "dots" if c.term in ("...", "…") or len(c.term) > 2 else c.term[-1]
+    kind = "full" if c.term[-1] in _STOPS else "ask" if c.term[-1] in _FULL else "dots" if c.term in ("...", "…") or len(c.term) > 2 else c.term[-1]
     left = script(c.word[-1:])
     cluster = st.cluster(c.term, c.close, left)
     mark = "close" if c.close else "bare"
     number = bool(_NUMBER.match(c.before))
-    f = [f"k:{kind}:{mark}:{nxt}", f"k:{kind}:{mark}", f"n:{kind}:{nxt}", f"gap:{c.gap}:{kind}"]
+    if unit and number:  # whether the unit else ends blocks says nothing
+        end = "unit"
+    f = [f"k:{kind}:{mark}:{nxt}", f"k:{kind}:{mark}:{'hira' if nxt == 'hira' else 'other'}", f"n:{kind}:{nxt}", f"gap:{c.gap}:{kind}"]
     if kind == ".":
         go = "on" if nxt == "lower" else "new"
         f += [f"w:{left}:{c.word}", f"e:{end}:{nxt}", f"e:{end}:{go}", f"s:{sh}:{nxt}", f"s:{sh}", f"u:{unit}:{go}", f"un:{unit and number}:{go}", f"v:{_first(c.tail)}", f"ue:{unit}:{end}:{nxt}"]
     else:
-        f += [f"c:{kind}:{mark}:{cluster}:{nxt}", f"c:{mark}:{cluster}:{nxt in _CASELESS}"]
+        f += [f"c:{kind}:{mark}:{cluster}:{nxt}", f"c:{kind}:{mark}:{cluster}:{'hira' if nxt == 'hira' else nxt in _CASELESS}"]
     label: int | None = None
-    if nxt == "lower":
+    if nxt == "lower" or kind != "." and c.close and nxt == "hira":
+        label = 0
+    elif kind == "." and end == "never" and not c.close and nxt in ("cap_inside", "cap_rare", "digit", "roman", "dotted", "bracket"):
         label = 0
-    elif kind == ".":
-        if c.close:
-            label = 0 if nxt == "hira" else 1
-        elif unit and number and nxt not in ("bracket", "other"):
-            label = 1
-        elif nxt == "cap_first" and end != "few":
-            label = 1
-        elif end == "never" and nxt in ("cap_inside", "cap_rare", "digit", "roman", "dotted", "bracket"):
-            label = 0
-        elif end == "often" and nxt in (*_UPPER, "open", *_CASELESS):
-            label = 1
-        elif end == "number" and nxt in (*_UPPER, "open"):
-            label = 1
-    elif not c.close:
-        label = 1 if kind == "full" or nxt in (*_UPPER, "open", *_CASELESS) else None
-    elif nxt == "hira":
+    elif kind not in (".", "full") and c.close and cluster == "never" and nxt in _CASELESS:
         label = 0
-    elif kind == "full" and c.term[-1] in "。｡।۔":
-        label = 1
-    elif nxt in _CASELESS:
-        label = 0 if cluster == "never" else 1
-    elif nxt in (*_UPPER, "open"):
-        label = 1
     return f, label
 
 
@@ -346,29 +353,32 @@ def _prior(features: list[str]) -> float:
     """Log odds before any training, for corpora too small to teach."""
     x = features[0]
     if x.startswith("thai"):
-        return 4.0
+        return {"thai:thai:thai": 1.0, "thai:thai:foreign_sentence": 1.0}.get(x, -2.0)
     _, kind, mark, nxt = x.split(":")
     odds = {"lower": -4.0, "hira": -2.0 if mark == "close" else 2.0, "digit": -0.5, "roman": -1.0, "dotted": -0.5, "bracket": -0.5}.get(nxt, 1.5)
-    if kind == "full":
+    if kind in ("full", "ask"):
         odds = 4.0 if mark == "bare" else odds
+    if "un:True:new" in features:  # a unit after a figure is a word like others
+        odds += 3.0
     if any(f in ("s:upper1", "s:lower1") for f in features) and "u:True:new" not in features:
         odds -= 3.0
     return odds
 
 
-def train(rows: list[tuple[list[int], float, int]], rounds: int = 150, ridge: float = 0.02) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps. rows: feature slots, prior log odds, label."""
+def train(rows: list[tuple[list[int], float, int, float]], rounds: int = 150, ridge: float = 0.02) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps. rows: feature slots, prior log odds, label, weight."""
     w = np.zeros(WEIGHTS)
     if not rows:
         return w
-    where = np.concatenate([np.asarray(f) for f, _, _ in rows])
-    of = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
-    base, y = np.array([p for _, p, _ in rows]), np.array([v for _, _, v in rows], float)
-    seen = np.maximum(np.bincount(where, minlength=WEIGHTS), 1)
+    rows = sorted(rows)
+    where = np.concatenate([np.asarray(r[0]) for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    base, y, n = (np.array([r[i] for r in rows], float) for i in (1, 2, 3))
+    seen = np.maximum(np.bincount(where, n[of], minlength=WEIGHTS), 1)
     step, v = 1.0 / (0.25 * 16), w.copy()
     for t in range(rounds):
         z = base + np.bincount(of, v[where], minlength=len(rows))
-        g = np.bincount(where, (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)[of], minlength=WEIGHTS) / seen**0.85 + ridge * v / seen**0.5
+        g = np.bincount(where, (n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y))[of], minlength=WEIGHTS) / seen**0.85 + ridge * v / seen**0.5
         new = v - step * 4 * g
         v = new + t / (t + 3) * (new - w)
         w = new
@@ -382,7 +392,8 @@ class Splitter:
 
     def is_boundary(self, c: Candidate) -> bool:
         token = c.tail.split(None, 1)
-        key = (c.word, bool(_NUMBER.match(c.before)), c.term, c.close, c.gap, token[0], len(token) > 1)  # all that the features see
+        word = c.word if c.term == "." or not c.term else c.word[-1:]
+        key = (word, bool(_NUMBER.match(c.before)), c.term, c.close, c.gap, token[0], len(token) > 1, c.foreign)  # all that the features see
         got = self.memo.get(key)
         if got is None:
             f, _ = describe(c, self.st)
@@ -417,9 +428,13 @@ def labelled(text: str, st: Statistics) -> Iterator[tuple[list[int], float, int]
             m = regex.search(rf"([{_TERMS}]+)([{_CLOSERS}]*)$", body)
             if m:
                 word, before = _left(body, 0, m.start())
-                tail = text[found[i + 1].start : found[i + 1].start + 60].lstrip()
+                tail = _tail(text, _SPACE.match(text, found[i + 1].start).end(), found[i + 1].end)
                 f, _ = describe(Candidate(0, word, before, m[1], m[2], True, tail), st)
                 yield feature_ids(f), _prior(f), 1
+            elif _HAS_THAI.match(body[-1]):
+                tail = _tail(text, _SPACE.match(text, found[i + 1].start).end(), found[i + 1].end)
+                f, _ = describe(Candidate(0, body[-4:], "", "", "", True, tail), st)
+                yield feature_ids(f), _prior(f), 1
 
 
 def statistics(documents: DataFrame) -> Statistics:
@@ -429,11 +444,27 @@ def statistics(documents: DataFrame) -> Statistics:
             for t in pdf["text"]:
                 if t:
                     c.add(t)
-        yield pd.DataFrame(c.rows(), columns=["kind", "slot", "n"])
-
-    got = documents.select("text").mapInPandas(run, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    pdf = got.toPandas()  # at most kinds x SLOTS rows
-    return Statistics(list(zip(pdf["kind"], pdf["slot"], pdf["n"])))
+            if len(c) > 500_000:
+                yield pd.DataFrame(c.rows(), columns=["kind", "token", "n"])
+                c = Counts()
+        yield pd.DataFrame(c.rows(), columns=["kind", "token", "n"])
+
+    counts = documents.select("text").mapInPandas(run, "kind string, token string, n bigint")
+    special = F.create_map(*(F.lit(x) for base, kind in _SPECIAL.items() for x in (kind, base)))[F.col("kind")]
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    both = counts.withColumn("special", special).groupBy(F.coalesce("special", "kind").alias("base"), "token").agg(n(F.col("special").isNull()).alias("n"), n(F.col("special").isNotNull()).alias("s"))
+    both = materialise(both, "sentence-tokens")
+    total = {r.base: (r.n, r.s) for r in both.groupBy("base").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}
+    stops, ends = total.get("stop", (0, 0))
+    rate = Statistics({}, stops, ends).rate
+    least = {"stop": EXPECTED / rate / 4, "all": 10, "cap": 4, "cluster": 1}  # rarer ones are as good as unknown
+    enough = F.lit(False)
+    for base, (all_, _) in total.items():
+        enough |= (F.col("base") == base) & (F.col("n") >= max(least[base], SHARE * all_))
+    known: dict[str, dict[str, tuple[int, int]]] = {}
+    for r in both.filter(enough | ((F.col("base") == "stop") & (F.col("s") > 0) & (F.col("n") >= SHARE * stops))).collect():  # at most 1 / SHARE tokens a kind
+        known.setdefault(r.base, {})[r.token] = (r.n, r.s)
+    return Statistics(known, stops, ends)
 
 
 def fit(documents: DataFrame, st: Statistics, sample: int = SAMPLE) -> np.ndarray:
@@ -451,9 +482,8 @@ def fit(documents: DataFrame, st: Statistics, sample: int = SAMPLE) -> np.ndarra
             yield pd.DataFrame([(list(f), p, y, n) for (f, p, y), n in got.items()], columns=["f", "p", "y", "n"])
 
     few = documents.filter(h <= top).select("text").mapInPandas(run, "f array<int>, p double, y int, n int")
-    pdf = few.toPandas()  # candidates of at most `sample` documents
-    rows = [(list(f), p, y) for f, p, y, n in zip(pdf["f"], pdf["p"], pdf["y"], pdf["n"]) for _ in range(min(int(n), 20))]
-    return train(rows)
+    pdf = few.groupBy("f", "p", "y").agg(F.sum("n").alias("n")).toPandas()  # candidates of at most `sample` documents
+    return train([(list(f), p, y, float(min(n, REPEATS))) for f, p, y, n in zip(pdf["f"], pdf["p"], pdf["y"], pdf["n"])])
 
 
 def sentences(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
