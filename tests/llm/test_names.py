@@ -41,6 +41,49 @@ def test_join_is_exact(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_join_with_common_tokens_and_tiny_sets(spark, monkeypatch):
+    from verbena.llm import names
+
+    rnd = random.Random(2)
+    for common in (0, 2):
+        monkeypatch.setattr(names, "COMMON", common)
+        sets = lambda n, k: {f"{k}{i}": sorted({rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 9))}) for i in range(n)}  # noqa: B023, E731
+        left, right = sets(40, "l"), sets(40, "r")
+        make = lambda d, k: spark.createDataFrame([(x, False, t) for x, t in d.items()], f"{k} string, kind boolean, tokens array<string>")
+        for threshold in (0.5, 0.8):
+            got = sorted((r.l, r.r) for r in similar_pairs(make(left, "l"), make(right, "r"), threshold).collect())
+            want = sorted((x, y) for x, s in left.items() for y, t in right.items() if s and t and len({*s} & {*t}) >= threshold * len({*s} | {*t}) - 1e-9)
+            assert got == want
+
+
+def test_short_hyphened_and_other_letters(spark):
+    listed = [(1, "Ia io", [], "z", "q"), (2, "Epi-dendrum nocturnum", [], "z", "q"), (3, "Epi-dendrum noctis", [], "z", "q"), (4, "Роза майская", [], "z", "q"), (5, "Rosa canina", [], "z", "q")]
+    names = ["IA IO", "Ia sp.", "epi-dendrum nocturnum L.", "Epidendrum noctis", "роза майска", "Rosa-canina", "Rosa dc", "Ia ix"]
+    assert mapped(spark, names, listed) == {0: 1, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1}
+
+
+def test_most_alike_wins_before_fewest_edits(spark):
+    listed = [(1, "Quercus robur", [], "z", "q"), (2, "Quercus rabora", [], "z", "q")]
+    assert mapped(spark, ["Quercus robura", "Quercus robru"], listed) == {0: 1, 1: 1}
+
+
+def test_candidates_grow_linearly_with_the_vocabulary(spark, monkeypatch):
+    """Ten times as many listed names of new words: the pairs that the join brings together per typed name stay about as many."""
+    from verbena.llm import names
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    met = []
+    join = names.checked_join
+    monkeypatch.setattr(names, "checked_join", lambda a, b, keys, *x, **o: (met.append(out.count() if "key" in keys and "lp" in a.columns else None), out)[1] if (out := join(a, b, keys, *x, **o)) is not None else None)
+    make = lambda xs, k: spark.createDataFrame([(x, False) for x in xs], f"{k} string, kind boolean").withColumn("tokens", tokens(F.col(k)))
+    names_ = [f"{word(8)} {word(9)}" for _ in range(20_000)]
+    for n in (2_000, 20_000):
+        similar_pairs(make([x[:-1] for x in names_[:300]], "l"), make(names_[:n], "r"), 0.5).count()
+    few, many = [m for m in met if m is not None]
+    assert many <= 12 * few and many / 300 < 0.2 * 20_000
+
+
 def test_edits(spark):
     assert [_edits("abc", x) for x in ("abc", "acb", "ab", "xbc", "")] == [0, 1, 1, 1, 3]
     df = spark.createDataFrame([("abcd", "abdc")], "a string, b string")
