@@ -140,7 +140,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR)
     y = materialise(y, "names-prefixes")
     most = F.col("got") + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
     met = checked_join(x, y, ["kind", "key"], salt_on=["l"]).filter(alike & (most >= need) & (common + n - own >= need))
-    first = F.array_sort(F.array_intersect("lp", "rp"))  # each pair counts once, at its first shared token or two
+    first = F.array_intersect("lp", "rp")  # in the order of lp: each pair counts once, at its first shared token or two
     met = met.filter(F.when(F.col("got") == 1, first[0]).otherwise(F.shiftleft(first[0], 32) + first[1]) == F.col("key")).select("l", "r", "kind", "lt", "rt")
 
     tiny = a.filter(F.size("lt") * threshold <= 1 + 1e-9).select("l", "kind", "lt", F.explode(F.filter("lt", lambda t: t % 2 == 1)).alias("key"))
