@@ -73,10 +73,10 @@ def test_three_states(spark):
 def test_upsert_keeps_other_columns(spark):
     t = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, keep string")
     u = spark.createDataFrame([(2, "B", "new"), (3, "C", "new")], "k int, v string, keep string")
-    assert rows(R.upsert(t, u, ["k"], ["v"])) == [("x", 1, "a")[1:2] + ("x", "a"), (2, "y", "B"), (3, "new", "C")] or rows(R.upsert(t, u, ["k"], ["v"]).select("k", "keep", "v")) == [(1, "x", "a"), (2, "y", "B"), (3, "new", "C")]
+    assert rows(R.upsert(t, u, ["k"], ["v"])) == sorted([(1, "x", "a"), (2, "y", "B"), (3, "new", "C")], key=repr)
     assert rows(R.insert_absent(t, u, ["k"]).select("k")) == [(1,), (2,), (3,)]
     r = spark.createDataFrame([(1, None, "z")], "k int, v string, keep string")
-    assert rows(R.assigned(t, r, "k")) == [("x" and 1, "z", "a"), (2, "y", "b")]
+    assert rows(R.assigned(t, r, "k")) == [(1, "z", "a"), (2, "y", "b")]
 
 
 def test_plans_pairs_and_bands(spark):
@@ -167,7 +167,7 @@ def test_bootstrap_draws_as_many_as_the_reference():
 
 def test_groups(spark):
     df = spark.createDataFrame([("a", "T0", 1.0), ("a", "T1", 3.0), ("a", "T1", float("nan")), ("b", "T0", None)], "g string, t string, v double")
-    assert rows(A.describe(df, ["g"], "v").select("g", "n", "mean")) == [("a", 2.0, 2)] + [("b", None, 0)] or {r.g: (r.n, r["mean"]) for r in A.describe(df, ["g"], "v").collect()} == {"a": (2, 2.0), "b": (0, None)}
+    assert {r.g: (r.n, r["mean"]) for r in A.describe(df, ["g"], "v").collect()} == {"a": (2, 2.0), "b": (0, None)}
     assert rows(A.value_counts(df, "g", 1)) == [("a", 3)]
     assert {r.v for r in A.filled_with_mean(df, ["g"], "v").collect()} == {1.0, 3.0, 2.0, None}
     assert A.share_of(df, F.col("v") > 1).first().n == 4 and A.share_of(df.limit(0), F.lit(True)).first().pct is None
@@ -251,7 +251,7 @@ def test_points_polygons_and_rasters(spark):
     got = dict(G.sampled(pts, px, grid, ["l"]).select("id", "l").collect())
     assert got == {1: 21.0, 2: 10.0, 3: None, 4: None}
     m = G.environment_matrix(pts.filter("id = 1"), pts.filter("id > 1"), px, grid, ["l"])
-    assert rows(m.select("id", "class", "l")) == [(1, 1, 21.0), (0, 2, 10.0)][::-1] or {(r.id, r["class"]) for r in m.collect()} == {(1, 1), (2, 0)}
+    assert {(r.id, r["class"], r.l) for r in m.collect()} == {(1, 1, 21.0), (2, 0, 10.0)}
     p = G.patches(pts.filter("id = 2").withColumn("lon", F.lit(1.5)).withColumn("lat", F.lit(1.5)), px, grid, "l", 1).first().patch
     assert p == [0.0, 1.0, 2.0, 10.0, 11.0, 12.0, 20.0, 21.0, 22.0]
     a = G.annulus(pts.filter("id = 2"), pts.filter("id = 1"), 1.0, 2.0)

@@ -2,9 +2,9 @@
 
 import pytest
 from conftest import SMALL, duck, normal
-from verbena.plans import evaluation, integrity, schema_drift, spatial, streams, texts
+from verbena.plans import evaluation, files, integrity, judging, reports, schema_drift, spatial, streams, texts
 
-MODULES = (evaluation, texts, spatial, streams, integrity, schema_drift)
+MODULES = (evaluation, reports, judging, texts, spatial, files, streams, integrity, schema_drift)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 

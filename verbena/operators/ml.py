@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -61,70 +62,70 @@ def _trees(model: RandomForestClassificationModel) -> list[tuple[np.ndarray, ...
     return out
 
 
-def _tree_shap(tree: tuple[np.ndarray, ...], x: np.ndarray, n: int) -> np.ndarray:
-    """Shapley values of one tree's output by the exact recursion over paths; cover-weighted expectations."""
+def _leaves(tree: tuple[np.ndarray, ...]) -> list[tuple[float, list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Per leaf: its output, the features on its path, and of each the interval (low, high] that leads to it and the share of the cover that goes there."""
     feature, threshold, left, right, share, cover = tree
-    phi = np.zeros(n)
-
-    def extend(path, zero, one, f):
-        path = [list(p) for p in path] + [[f, zero, one, 1.0 if not path else 0.0]]
-        m = len(path) - 1
-        for i in range(m - 1, -1, -1):
-            path[i + 1][3] += one * path[i][3] * (i + 1) / (m + 1)
-            path[i][3] = zero * path[i][3] * (m - i) / (m + 1)
-        return path
-
-    def unwind(path, k):
-        path = [list(p) for p in path]
-        m = len(path) - 1
-        zero, one, nxt = path[k][1], path[k][2], path[m][3]
-        for i in range(m - 1, -1, -1):
-            if one != 0:
-                t = path[i][3]
-                path[i][3] = nxt * (m + 1) / ((i + 1) * one)
-                nxt = t - path[i][3] * zero * (m - i) / (m + 1)
-            else:
-                path[i][3] = path[i][3] * (m + 1) / (zero * (m - i))
-        for i in range(k, m):
-            path[i][:3] = path[i + 1][:3]
-        return path[:-1]
-
-    def walk(node, path, zero, one, f):
-        path = extend(path, zero, one, f)
-        if feature[node] < 0:
-            for i in range(1, len(path)):
-                w = sum(p[3] for p in unwind(path, i))
-                phi[path[i][0]] += w * (path[i][2] - path[i][1]) * share[node]
-            return
-        hot, cold = (left[node], right[node]) if x[feature[node]] <= threshold[node] else (right[node], left[node])
-        iz = io = 1.0
-        k = next((i for i, p in enumerate(path) if i and p[0] == feature[node]), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        walk(hot, path, iz * cover[hot] / cover[node], io, feature[node])
-        walk(cold, path, iz * cover[cold] / cover[node], 0.0, feature[node])
-
-    walk(0, [], 1.0, 1.0, -1)
-    return phi
+    out, stack = [], [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        f = int(feature[node])
+        if f < 0:
+            if path:
+                fs = list(path)
+                low, high, part = (np.array([path[x][k] for x in fs]) for k in range(3))
+                out.append((float(share[node]), fs, low, high, part))
+            continue
+        low, high, part = path.get(f, (-np.inf, np.inf, 1.0))
+        cut = float(threshold[node])
+        for child, bounds in ((int(left[node]), (low, min(high, cut))), (int(right[node]), (max(low, cut), high))):
+            stack.append((child, path | {f: (*bounds, part * float(cover[child] / cover[node]))}))
+    return out
+
+
+def _forest_shap(trees: list, x: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of the mean output of the trees, all rows at once.
+
+    A leaf counts for a coalition by the features outside it that send their cover's share there and those inside that do or do not lead
+    there: over coalitions of k others, the coefficients of a product of one linear factor per feature.
+    """
+    phi = np.zeros(x.shape)
+    for leaves in trees:
+        for value, fs, low, high, part in leaves:
+            m = len(fs)
+            leads = ((x[:, fs] > low) & (x[:, fs] <= high)).astype(float)
+            weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+            for i in range(m):
+                poly = np.zeros((m, len(x)))
+                poly[0] = 1.0
+                for n, j in enumerate(j for j in range(m) if j != i):
+                    poly[1 : n + 2] = poly[1 : n + 2] * part[j] + poly[: n + 1] * leads[:, j]
+                    poly[0] *= part[j]
+                phi[:, fs[i]] += value * (leads[:, i] - part[i]) * np.tensordot(weight, poly, 1)
+    return phi / max(1, len(trees))
 
 
 def shap_values(model: RandomForestClassificationModel, df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """(key, one column per feature): contributions to the positive class, which add up to the score less its mean. The trees are broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(_trees(model))
+    shared = df.sparkSession.sparkContext.broadcast([_leaves(t) for t in _trees(model)])
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for pdf in batches:
-            x = pdf[names].to_numpy(float)
-            phi = np.array([np.mean([_tree_shap(t, row, len(names)) for t in trees], axis=0) for row in x]).reshape(len(x), len(names))
+            phi = _forest_shap(trees, pdf[names].to_numpy(float))
             yield pd.DataFrame({key: pdf[key], **{f: phi[:, i] for i, f in enumerate(names)}})
 
     kind = dict(df.dtypes)[key]
     return df.select(key, *(F.col(f).cast("double").alias(f) for f in names)).na.drop(subset=names).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"`{f}` double" for f in names))
 
 
+def limiting(shap: DataFrame, features: Sequence[str], key: str, top: int = 3) -> DataFrame:
+    """(key, place, feature, value, direction): the features of largest contribution per row, largest first (ties by name)."""
+    entries = F.array(*(F.struct((-F.abs(F.col(f))).alias("k"), F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features))
+    rows = shap.select(key, F.posexplode(F.slice(F.sort_array(entries), 1, top)).alias("i", "e"))
+    return rows.select(key, (F.col("i") + 1).alias("place"), "e.feature", "e.value", F.when(F.col("e.value") > 0, "POSITIVE").otherwise("NEGATIVE").alias("direction"))
+
+
 def lime(model: RandomForestClassificationModel, data: DataFrame, row: dict[str, float], features: Sequence[str], n: int = 2000, seed: int = 42) -> dict[str, float]:
     """Local weights of the features around one row: a linear model of the scores of n disturbed rows, weighted by their nearness (in deviations of the data)."""
     spread = data.agg(*(F.stddev_samp(F.col(f).cast("double")).alias(f) for f in features)).first()

@@ -112,6 +112,11 @@ def differs(pairs: Sequence[tuple[str, str]], least: float) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.abs(F.col(a) - F.col(b)) >= least, F.lit(False)) for a, b in pairs), F.lit(False))
 
 
+def finished(df: DataFrame, key: str, kind: str, status: str = "status", done: str = "done") -> DataFrame:
+    """Rows of a log whose key ends with |kind and whose status says done."""
+    return df.filter(F.col(key).endswith("|" + kind) & (F.col(status) == done))
+
+
 # Joins
 
 def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", left_prefix: str = "l_", right_prefix: str = "r_") -> DataFrame:
@@ -165,20 +170,32 @@ def pattern_matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, Sequ
     return df.withColumn("codes", F.sort_array(F.array_distinct(F.flatten(F.array(*found)))) if found else empty)
 
 
+def table_matches(df: DataFrame, text: str, patterns: DataFrame, pattern: str = "pattern", codes: str = "codes") -> DataFrame:
+    """As pattern_matches with a table of patterns (few: it is counted and its rows become the plan's expressions)."""
+    if not at_most(patterns, 10_000):
+        raise ValueError("a pattern table holds at most 10000 patterns")
+    rows = [(r[pattern], list(r[codes])) for r in patterns.select(pattern, codes).collect()]
+    return pattern_matches(df, text, rows)
+
+
+def merged_counts(counts: DataFrame, names: DataFrame, key: str, name: str, n: str = "n") -> DataFrame:
+    """(name, n): counts per key summed per name; keys without a name stand as key_<key>."""
+    named = lookup(counts, names, [key], name, F.concat(F.lit(f"{key}_"), F.col(key).cast("string")))
+    return named.groupBy(name).agg(F.sum(n).alias(n))
+
+
+def first_success(df: DataFrame, by: Sequence[str], order: str, ok: Column) -> DataFrame:
+    """The first row of each group that passes a test."""
+    rest = [c for c in df.columns if c not in by]
+    return df.filter(ok).groupBy(*by).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*by, "__r.*")
+
+
 def in_bands(df: DataFrame, value: str, bands: Sequence[tuple[str, float, float]]) -> DataFrame:
     """One row per band [low, high] that holds the value; a band table in code, so no join is needed."""
     inside = F.array(*(F.when(F.col(value).between(lo, hi), F.lit(name)) for name, lo, hi in bands))
     return df.withColumn("band", F.explode(F.filter(inside, lambda b: b.isNotNull())))
 
 
-def numbered_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within: str) -> DataFrame:
-    """The i-th rows of both sides within a group, side by side."""
-    from pyspark.sql.window import Window
-
-    rank = lambda df, k: df.withColumn("i", F.row_number().over(Window.partitionBy(within).orderBy(k)))
-    return rank(left, left_key).join(rank(right, right_key), [within, "i"])
-
-
 # Sets and shapes
 
 def stacked(*tables: DataFrame) -> DataFrame:

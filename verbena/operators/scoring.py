@@ -25,26 +25,54 @@ def applicable(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")) != "N/A", F.lit(True))
 
 
-def composite(m1: Column, m2: Column, m3: Column, m4: Column, m5: Column, tier: Column, profile: Column, taxonomy_valid: Column | None = None, rich_tier: str = "T3", expert: str = "botanico") -> Column:
+def composite(m1: Column, m2: Column, m3: Column, m4: Column, m5: Column, tier: Column, profile: Column, taxonomy_valid: Column | None = None, rich_tier: str = "T3", expert: str = "botanico", digits: int | None = None) -> Column:
     """Share of the attainable marks. The rich tier adds m2, and for experts m4, unless not applicable (a missing one counts as 0 marks).
 
-    An invalid taxonomy and an irrelevant answer (m3 of 1 or less, or no number) cap the score.
+    ``digits``: rounded before the caps. An invalid taxonomy and an irrelevant answer (m3 of 1 or less, or no number) cap the score.
     """
     zero = lambda m: F.coalesce(number(m), F.lit(0.0))
     with2 = (tier == rich_tier) & applicable(m2)
     with4 = (tier == rich_tier) & (profile == expert) & applicable(m4)
     got = zero(m1) + zero(m3) + zero(m5) + F.when(with2, zero(m2)).otherwise(0.0) + F.when(with4, zero(m4)).otherwise(0.0)
     most = F.lit(3 * FULL_MARK) + F.when(with2, EXTRA_MARK).otherwise(0.0) + F.when(with4, EXTRA_MARK).otherwise(0.0)
-    score = got / most
+    score = got / most if digits is None else F.round(got / most, digits)
     valid = F.lit(True) if taxonomy_valid is None else F.coalesce(taxonomy_valid.cast("boolean"), F.lit(True))
     score = F.when(~valid, F.least(score, F.lit(CAP_TAXONOMY))).otherwise(score)
     return F.when(zero(m3) <= IRRELEVANT, F.least(score, F.lit(CAP_IRRELEVANT))).otherwise(score)
 
 
 def judge_mean(a: Column, b: Column) -> Column:
-    """Mean of two judges' marks as text: "N/A" if either says so, the other's mark if one is missing."""
-    both = (number(a) + number(b)) / 2
-    return F.when(~applicable(a) | ~applicable(b), "N/A").otherwise(F.coalesce(both, number(a), number(b)).cast("string"))
+    """Mean of two judges' marks as text, to two digits: "N/A" if either says so; the first judge's mark, null or not, unless both are numbers."""
+    both = F.round((number(a) + number(b)) / 2, 2)
+    return F.when(~applicable(a) | ~applicable(b), "N/A").otherwise(F.coalesce(both.cast("string"), number(a).cast("string"), a.cast("string")))
+
+
+METRICS = ("m1_precision_geografica", "m2_precision_altitudinal", "m3_relevancia_respuesta", "m4_variable_climatica", "m5_profundidad_analitica")
+
+
+def ensemble(a: Column, b: Column, label_a: Column, label_b: Column, tier: Column, profile: Column, taxonomy_valid: Column | None = None, third: Column | None = None, metrics: Sequence[str] = METRICS) -> Column:
+    """One result of two judges' mark structs (null: the judge failed); null if both failed.
+
+    A judge that failed takes the other one's marks and label. The marks are averaged, the third judge is asked where the
+    two are DISAGREE or more apart in any metric (its marks, ``third``, are kept but not averaged in), and such answers need a human's review.
+    """
+    lost_a, lost_b = a.isNull(), b.isNull()
+    x, y = F.coalesce(a, b), F.coalesce(b, a)
+    gap = largest_difference([(x[m], y[m]) for m in metrics])
+    mean = {m: judge_mean(x[m], y[m]) for m in metrics}
+    score = F.round(composite(*(mean[m] for m in metrics), tier, profile, taxonomy_valid, digits=4), 4)
+    disagree = gap >= DISAGREE
+    third = F.lit(None).cast("string") if third is None else third
+    result = F.struct(
+        F.when(lost_a, label_b).otherwise(label_a).alias("judge_a_label"), F.when(lost_b, label_a).otherwise(label_b).alias("judge_b_label"), F.when(disagree, third).alias("judge_c_scores"),
+        *(v.alias(m) for m, v in mean.items()), score.alias("score_compuesto"), gap.alias("max_metric_diff"), disagree.alias("disagree_flag"), (disagree & third.isNotNull()).alias("used_tiebreaker"), disagree.alias("needs_human_review"),
+    )
+    return F.when(~(lost_a & lost_b), result)
+
+
+def taxonomy_valid(status: Column, confidence: Column, least: int = 80) -> Column:
+    """Whether a name stands in the backbone: accepted or a synonym, with enough confidence if any is told. A look-up that failed (null status) does not count against the answer."""
+    return F.when(status.isNull(), True).otherwise(status.isin("ACCEPTED", "SYNONYM") & F.coalesce(confidence >= least, F.lit(True)))
 
 
 def largest_difference(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -68,17 +96,20 @@ def independent_judge(generator: Column, judge: Column, third: Column, families:
     return F.when(own & third.isNotNull(), third).otherwise(judge)
 
 
-def elevation_plausibility(mentions: Column, low: Column, high: Column, tolerance: int = TOLERANCE_M) -> Column:
-    """2 if all mentioned heights lie in the widened band, 1 if some do, 0 if none; null without mentions or band."""
-    lo, hi = F.least(low, high) - tolerance, F.greatest(low, high) + tolerance
+def elevation_plausibility(mentions: Column, low: Column | Sequence[Column], high: Column | Sequence[Column], tolerance: int = TOLERANCE_M) -> Column:
+    """2 if all mentioned heights lie in the widest band of the sources, widened by the tolerance, 1 if some do, 0 if none do or none is mentioned; null (not applicable) without a low or a high end."""
+    lows, highs = ([side] if isinstance(side, Column) else list(side) for side in (low, high))
+    widest = lambda f, xs: f(*xs) if len(xs) > 1 else xs[0]
+    lo, hi = widest(F.least, lows) - tolerance, widest(F.greatest, highs) + tolerance
+    heights = F.coalesce(mentions, F.array().cast("array<bigint>"))
     ok = lambda x: x.between(lo, hi)
-    known = (F.size(mentions) > 0) & lo.isNotNull()
-    return F.when(known & F.forall(mentions, ok), 2).when(known & F.exists(mentions, ok), 1).when(known, 0)
+    known = lo.isNotNull() & hi.isNotNull()
+    return F.when(known & (F.size(heights) == 0), 0).when(known & F.forall(heights, ok), 2).when(known & F.exists(heights, ok), 1).when(known, 0)
 
 
 def row_mean(*metrics: Column) -> Column:
-    """Mean of marks of which none is missing."""
-    return sum(metrics[1:], metrics[0]) / len(metrics)
+    """Mean of marks of which none is missing, to two digits."""
+    return F.round(sum(metrics[1:], metrics[0]) / len(metrics), 2)
 
 
 def descending(*levels: Column) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,24 +97,26 @@ def _mapped(f, *types):
 def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the group means by a Poisson bootstrap: every row enters each resample Poisson(1) times.
 
-    The weights come from the task's number, so partial sums of all resamples are made where the rows lie and
-    no group is gathered. Per group: n, mean, low, high; rows with a null or NaN value do not count.
+    Equal values of a group are counted first; c of them together enter a resample Poisson(c) times, which is the same law.
+    The draws come from the value's hash and the seed, so no partitioning changes the result, and the partial sums of all
+    resamples are made where the values lie. Per group: n, mean, low, high; rows with a null or NaN value do not count.
     """
     by = list(by)
     rows = df.select(*by, not_nan(F.col(value).cast("double")).alias("v")).filter("v is not null")
+    counted = rows.groupBy(*by, "v").agg(F.count("*").alias("c")).withColumn("h", F.xxhash64(*(F.col(x).cast("string") for x in by), "v", F.lit(seed)))
     schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("s", T.BinaryType())])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for pdf in batches:
             for key, g in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
                 acc = sums.setdefault(tuple(key) if isinstance(key, tuple) else (key,), np.zeros((2, n_boot + 1)))
-                for lo in range(0, len(g), 512):
-                    v = g["v"].to_numpy()[lo : lo + 512]
-                    w = rng.poisson(1.0, (len(v), n_boot + 1))
-                    w[:, 0] = 1
-                    acc += np.stack([w.sum(0), v @ w])
+                for v, c, h in zip(g["v"], g["c"], g["h"]):
+                    w = np.random.Generator(np.random.Philox(key=int(h) & (2**64 - 1))).poisson(c, n_boot)
+                    acc[0, 0] += c
+                    acc[1, 0] += c * v
+                    acc[0, 1:] += w
+                    acc[1, 1:] += v * w
         yield pd.DataFrame([(*k, a.tobytes()) for k, a in sums.items()], columns=[*by, "s"])
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,52 +126,57 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, n_boot: int = 10_
         return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), int(a[0, 0]), float(a[1, 0] / a[0, 0]), float(low), float(high))], columns=[*by, "n", "mean", "low", "high"])
 
     out = T.StructType([*(rows.schema[c] for c in by), T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
-    return rows.mapInPandas(partial, schema).groupBy(*by).applyInPandas(final, out)  # one small row per task and group
+    return counted.mapInPandas(partial, schema).groupBy(*by).applyInPandas(final, out)  # one small row per task and group
 
 
 # Rank tests over blocks
 
-def complete_blocks(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str) -> DataFrame:
-    """(block, label, value): mean per block and label, of blocks that have all labels."""
-    means = df.filter(F.col(label).isin(*labels)).groupBy(block, label).agg(F.avg(not_nan(F.col(value).cast("double"))).alias("value")).filter("value is not null")
-    full = means.groupBy(block).agg(F.count("*").alias("k")).filter(F.col("k") == len(labels))
-    return means.join(full.select(block), block, "left_semi").withColumnRenamed(label, "label").withColumnRenamed(block, "block")
-
-
-def friedman(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str) -> DataFrame:
-    """One row: chi2 (corrected for ties), p, n blocks, k labels, w_code = chi2 / (k (n - 1)), w_textbook = chi2 / (n (k - 1)); null below 2 blocks or labels."""
-    k = len(labels)
-    blocks = complete_blocks(df, block, label, labels, value)
-    ranks = small_ranks(blocks, ["block"], "value")
-    ties = blocks.groupBy("block", "value").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = ranks.groupBy("label").agg(F.sum("rank").alias("r"), F.count("*").alias("n")).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max("n").alias("n"))
+def complete_blocks(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, block, label, value): mean per block and label, of blocks that have all labels."""
+    by = list(by)
+    means = df.filter(F.col(label).isin(*labels)).groupBy(*by, block, label).agg(F.avg(not_nan(F.col(value).cast("double"))).alias("value")).filter("value is not null")
+    means = means.select(*by, F.col(block).alias("block"), F.col(label).alias("label"), "value")
+    full = means.groupBy(*by, "block").agg(F.count("*").alias("k")).filter(F.col("k") == len(labels))
+    same = lambda c: F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return means.alias("m").join(full.alias("f"), [*(same(c) for c in by), F.col("m.block") == F.col("f.block")], "left_semi")
+
+
+def friedman(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group of ``by`` that has a complete block): chi2 (corrected for ties), p, n blocks, k labels, w_code = chi2 / (k (n - 1)), w_textbook = chi2 / (n (k - 1)); null below 2 blocks or labels."""
+    k, by = len(labels), list(by)
+    blocks = complete_blocks(df, block, label, labels, value, by)
+    ranks = small_ranks(blocks, [*by, "block"], "value")
+    ties = blocks.groupBy(*by, "block", "value").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    sums = ranks.groupBy(*by, "label").agg(F.sum("rank").alias("r"), F.count("*").alias("n")).groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.max("n").alias("n"))
     n = F.col("n")
     chi = (12 * F.col("rr") / (n * k * (k + 1)) - 3 * n * (k + 1)) / F.nullif(1 - F.col("ties") / (n * k * (k * k - 1)), F.lit(0.0))
-    got = sums.join(ties, how="cross").select(F.when((n >= 2) & F.lit(k >= 2), chi).alias("chi2"), n.alias("n_blocks"), F.lit(k).alias("k"))  # one row each
+    met = sums.alias("s").join(ties.alias("t"), [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]) if by else sums.join(ties, how="cross")  # one row each
+    got = met.select(*(F.col(f"s.{c}") for c in by), F.when((n >= 2) & F.lit(k >= 2), chi).alias("chi2"), n.alias("n_blocks"), F.lit(k).alias("k"))
     got = got.withColumn("w_code", F.col("chi2") / F.nullif(k * (F.col("n_blocks") - 1), F.lit(0))).withColumn("w_textbook", F.col("chi2") / F.nullif(F.col("n_blocks") * (k - 1), F.lit(0)))
     return got.withColumn("p", _mapped(lambda c: chi2_tail(c, k - 1))(F.col("chi2")))
 
 
-def wilcoxon_pairs(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str, least: int = 5) -> DataFrame:
-    """One row per pair of labels: n blocks, n nonzero differences, W (the smaller rank sum), z, r = |z| / sqrt(n), p two-sided by the normal law with tie correction (exact up to 50 without ties), p_bonferroni over all pairs.
+def wilcoxon_pairs(df: DataFrame, block: str, label: str, labels: Sequence[str], value: str, least: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """One row per (group of ``by`` and) pair of labels: n blocks, n nonzero differences, W (the smaller rank sum), z, r = |z| / sqrt(n), p two-sided by the normal law with tie correction (exact up to 50 without ties), p_bonferroni over all pairs.
 
     Zero differences are dropped from the ranks, not from n; fewer than ``least`` blocks or no difference give null tests.
     """
-    means = df.filter(F.col(label).isin(*labels)).groupBy(F.col(block).alias("block"), F.col(label).alias("label")).agg(F.avg(not_nan(F.col(value).cast("double"))).alias("value")).filter("value is not null")
-    pairs = unordered_pairs(means, ["block"], "label", "value").withColumn("d", F.round(F.col("value_a") - F.col("value_b"), 9)).withColumn("size", F.abs("d"))
-    ranks = value_ranks(pairs.filter("d <> 0"), ["a", "b"], "size")
-    sums = pairs.filter("d <> 0").groupBy("a", "b", "size").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down")).join(ranks, ["a", "b", "size"])
-    tested = sums.groupBy("a", "b").agg(F.sum(F.col("up") * F.col("rank")).alias("w_up"), F.sum(F.col("down") * F.col("rank")).alias("w_down"), F.sum("ties").alias("m"), F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tt"))
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    by = list(by)
+    means = df.filter(F.col(label).isin(*labels)).groupBy(*by, F.col(block).alias("block"), F.col(label).alias("label")).agg(F.avg(not_nan(F.col(value).cast("double"))).alias("value")).filter("value is not null")
+    pairs = unordered_pairs(means, [*by, "block"], "label", "value").withColumn("d", F.round(F.col("value_a") - F.col("value_b"), 9)).withColumn("size", F.abs("d"))
+    ranks = value_ranks(pairs.filter("d <> 0"), [*by, "a", "b"], "size")
+    sums = pairs.filter("d <> 0").groupBy(*by, "a", "b", "size").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down")).join(ranks, [*by, "a", "b", "size"])
+    tested = sums.groupBy(*by, "a", "b").agg(F.sum(F.col("up") * F.col("rank")).alias("w_up"), F.sum(F.col("down") * F.col("rank")).alias("w_down"), F.sum("ties").alias("m"), F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tt"))
+    n = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
     m, ok = F.col("m"), F.col("n") >= least
-    both = n.join(tested, ["a", "b"], "left").withColumn("w", F.when(ok, F.least("w_up", "w_down")))
+    both = n.join(tested, [*by, "a", "b"], "left").withColumn("w", F.when(ok, F.least("w_up", "w_down")))
     nn = F.col("n")
     z = (F.col("w") - nn * (nn + 1) / 4) / F.sqrt(nn * (nn + 1) * (2 * nn + 1) / 24)
     zt = (F.col("w") - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("tt") / 48)
     exact = _mapped(lambda w, m, tt, z: signed_rank_p(w, int(m)) if m <= 50 and tt == 0 else normal_tails(z))
     count = len(labels) * (len(labels) - 1) // 2
     out = both.withColumn("z", z).withColumn("r", F.abs("z") / F.sqrt(nn)).withColumn("p", exact(F.col("w").cast("double"), m.cast("double"), F.col("tt").cast("double"), zt))
-    return out.select("a", "b", "n", F.coalesce(m, F.lit(0)).alias("n_nonzero"), "w", "z", "r", "p", F.least(F.col("p") * count, F.lit(1.0)).alias("p_bonferroni"))
+    return out.select(*by, "a", "b", "n", F.coalesce(m, F.lit(0)).alias("n_nonzero"), "w", "z", "r", "p", F.least(F.col("p") * count, F.lit(1.0)).alias("p_bonferroni"))
 
 
 # Agreement and variance

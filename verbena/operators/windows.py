@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,7 +25,7 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
     cuts = min(MOST_CUTS, max(LEAST_CUTS, -(-per.count() // PER_CUT)))
     edges = per.groupBy(*by).agg(F.percentile_approx(value, F.expr("array(" + ", ".join(f"{i / cuts:.6f}D" for i in range(1, cuts)) + ")"), F.lit(20 * cuts)).alias("edges"))
-    cut = F.size(F.filter("edges", lambda e: e < F.col(value)))
+    cut = _below("edges", F.col(value), cuts)
     cutted = (checked_join(per, materialise(edges, "ranks-edges"), by, "left") if by else per.join(F.broadcast(edges), how="cross")).withColumn("cut", cut).drop("edges")
     sums = cutted.groupBy(*by, "cut").agg(F.sum("ties").alias("t"))
     below = sums.withColumn("below", F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
@@ -34,6 +34,17 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return placed.withColumn("upto", inside + F.col("below")).select(*by, value, "ties", (F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))
 
 
+def _below(edges: str, value: Column, most: int) -> Column:
+    """How many of the sorted edges (at most ``most``) are less than the value, by halving."""
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        less = F.get(edges, mid) < value
+        return F.when(a["lo"] >= a["hi"], a).when(less, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(edges), F.lit(0)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, most).bit_length())), start, halved)["lo"]
+
+
 def small_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Average ranks within groups known to be small (one row per label)."""
     w = Window.partitionBy(*by).orderBy(value)

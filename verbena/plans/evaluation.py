@@ -16,6 +16,7 @@ from ..runtime import table
 METRICS = ["m1", "m2", "m3", "m4", "m5"]
 KEYS = ["exp_id", "especie", "tier", "modelo_generador"]
 TIERS = ["T0", "T1", "T3"]
+SCORE = "score_compuesto"
 QUERIES, ORACLE = {}, {}
 
 
@@ -34,12 +35,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`").cast("double"), digits) + 0.0).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
-def llm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "llm_evaluations").distinct()
+def llm(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
+    """Each evaluation once: repeated rows share their id, so the id and the needed columns tell them apart and only these are read."""
+    return table(spark, sf_dir, "llm_evaluations").select(*dict.fromkeys(["eval_id", *need])).distinct()
 
 
-def human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "human_evaluations").distinct()
+def human(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
+    return table(spark, sf_dir, "human_evaluations").select(*dict.fromkeys(["human_id", *need])).distinct()
 
 
 def model(c: str = "modelo_generador"):
@@ -53,44 +55,44 @@ _HUMAN = "(select distinct * from human_evaluations)"
 
 @query(f"select tier, {_MODEL} model, {', '.join(f'round(avg(cast({m} as double)), 6) avg_{m}' for m in METRICS)}, round(avg(score_compuesto::double), 6) avg_score_compuesto, count(*) n from {_LLM} group by all")
 def score_summary(spark, sf_dir):
-    return rounded(A.summary(llm(spark, sf_dir).withColumn("model", model()), ["tier", "model"], [*METRICS, "score_compuesto"]))
+    return rounded(A.summary(llm(spark, sf_dir, "tier", "modelo_generador", *METRICS, SCORE).withColumn("model", model()), ["tier", "model"], [*METRICS, "score_compuesto"]))
 
 
 @query(f"select tier, {_MODEL} model, {', '.join(f'round(avg(cast({m} as double)), 6) avg_{m}' for m in METRICS)}, count(*) n from {_HUMAN} group by all")
 def human_score_summary(spark, sf_dir):
-    return rounded(A.summary(human(spark, sf_dir).withColumn("model", model()), ["tier", "model"], METRICS))
+    return rounded(A.summary(human(spark, sf_dir, "tier", "modelo_generador", *METRICS).withColumn("model", model()), ["tier", "model"], METRICS))
 
 
 @query(f"select e.exp_id, e.started_at, l.tier, round(avg(l.score_compuesto::double), 6) avg_score_compuesto, count(*) n from {_LLM} l join (select distinct exp_id, started_at from experiments) e using (exp_id) group by all")
 def score_trend(spark, sf_dir):
     runs = table(spark, sf_dir, "experiments").select("exp_id", "started_at").distinct()
-    return rounded(A.summary(llm(spark, sf_dir).join(runs, "exp_id"), ["exp_id", "started_at", "tier"], ["score_compuesto"]))
+    return rounded(A.summary(llm(spark, sf_dir, "exp_id", "tier", SCORE).join(runs, "exp_id"), ["exp_id", "started_at", "tier"], ["score_compuesto"]))
 
 
 @query(f"select tier, {_MODEL} model, round(avg(score_compuesto::double), 6) mean, round(stddev_samp(score_compuesto::double), 6) std, count(score_compuesto) n from {_LLM} group by all")
 def group_mean_std_count(spark, sf_dir):
-    return rounded(A.describe(llm(spark, sf_dir).withColumn("model", model()), ["tier", "model"], "score_compuesto"))
+    return rounded(A.describe(llm(spark, sf_dir, "tier", "modelo_generador", SCORE).withColumn("model", model()), ["tier", "model"], "score_compuesto"))
 
 
 @query(f"select stratum, round(avg(case when tier = 'T0' then score_compuesto::double end), 6) \"mean_T0\", round(avg(case when tier = 'T1' then score_compuesto::double end), 6) \"mean_T1\", round(avg(case when tier = 'T3' then score_compuesto::double end), 6) \"mean_T3\" from {_LLM} group by all")
 def tier_conditional_means(spark, sf_dir):
-    return rounded(A.conditional_means(llm(spark, sf_dir), "stratum", "tier", TIERS, "score_compuesto"))
+    return rounded(A.conditional_means(llm(spark, sf_dir, "stratum", "tier", SCORE), "stratum", "tier", TIERS, "score_compuesto"))
 
 
 @query(f"select tier, metric, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, count(value) n from (unpivot (select tier, {', '.join(f'coalesce({m}::double, -1) {m}' for m in METRICS)} from {_LLM}) on {', '.join(METRICS)} into name metric value value) where value >= 0 group by all")
 def metric_summary_unpivot(spark, sf_dir):
-    long = R.long_form(llm(spark, sf_dir), ["tier"], METRICS).filter("value is not null")
+    long = R.long_form(llm(spark, sf_dir, "tier", *METRICS), ["tier"], METRICS).filter("value is not null")
     return rounded(A.describe(long, ["tier", "metric"], "value"))
 
 
 @query(f"select especie, round(avg(case when tier = 'T0' then score_compuesto::double end), 6) \"T0\", round(avg(case when tier = 'T1' then score_compuesto::double end), 6) \"T1\", round(avg(case when tier = 'T3' then score_compuesto::double end), 6) \"T3\" from {_LLM} group by all")
 def pivot_mean(spark, sf_dir):
-    return rounded(A.pivot_mean(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto"))
+    return rounded(A.pivot_mean(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto"))
 
 
 @query(f"select stratum, tier, grouping(stratum)::int all_levels, round(avg(score_compuesto::double), 6) mean, count(*) n from {_LLM} group by grouping sets ((stratum, tier), (tier))")
 def all_levels_grouping_sets(spark, sf_dir):
-    return rounded(A.levels(llm(spark, sf_dir), "stratum", "tier", "score_compuesto"))
+    return rounded(A.levels(llm(spark, sf_dir, "stratum", "tier", SCORE), "stratum", "tier", "score_compuesto"))
 
 
 @query("select source, count(*) n from documents group by all order by n desc, source nulls last limit 5")
@@ -106,7 +108,7 @@ def first_seen_per_group(spark, sf_dir):
 
 @query(f"select exp_id, count(distinct especie) n_species, count(distinct {_MODEL}) n_models from {_LLM} group by all")
 def distinct_counts(spark, sf_dir):
-    return llm(spark, sf_dir).groupBy("exp_id").agg(F.countDistinct("especie").alias("n_species"), F.countDistinct(model()).alias("n_models"))
+    return llm(spark, sf_dir, "exp_id", "especie", "modelo_generador").groupBy("exp_id").agg(F.countDistinct("especie").alias("n_species"), F.countDistinct(model()).alias("n_models"))
 
 
 @query("select min(elevation_min_m) lowest, max(elevation_max_m) highest, round(avg(elevation_max_m), 6) mean_max from picked_species_enhanced")
@@ -133,19 +135,19 @@ def corr_direction(spark, sf_dir):
 
 @query(f"select evaluator, especie, list_aggregate(list_sort(list(distinct tier)), 'string_agg', ',') tiers from {_HUMAN} where evaluator is not null and especie is not null and tier is not null group by all")
 def nested_progress(spark, sf_dir):
-    tree = A.collected(human(spark, sf_dir).filter("tier is not null"), "evaluator", "especie", "tier")
+    tree = A.collected(human(spark, sf_dir, "evaluator", "especie", "tier").filter("tier is not null"), "evaluator", "especie", "tier")
     return tree.select("evaluator", F.explode("tree").alias("especie", "tiers")).select("evaluator", "especie", F.concat_ws(",", "tiers").alias("tiers"))
 
 
 @query(f"select especie, tier winner, best from (select especie, tier, best, row_number() over (partition by especie order by best desc, tier) r from (select especie, tier, round(avg(score_compuesto::double), 6) best from {_LLM} group by all) where best is not null) where r = 1")
 def argmax_winner(spark, sf_dir):
-    means = rounded(llm(spark, sf_dir).groupBy("especie", "tier").agg(F.avg(F.col("score_compuesto").cast("double")).alias("best")))
+    means = rounded(llm(spark, sf_dir, "especie", "tier", SCORE).groupBy("especie", "tier").agg(F.avg(F.col("score_compuesto").cast("double")).alias("best")))
     return A.arg_max(means, "especie", "tier", "best").filter("especie is not null").unionByName(A.arg_max(means.filter("especie is null"), "especie", "tier", "best"))
 
 
-@query(f"select human_id, (m1 + m3 + m5) / 3.0::double row_mean from {_HUMAN} where m1 + m3 + m5 is not null")
+@query(f"select human_id, round((m1 + m3 + m5) / 3.0::double, 2) row_mean from {_HUMAN} where m1 + m3 + m5 is not null")
 def rubric_row_mean(spark, sf_dir):
-    return human(spark, sf_dir).select("human_id", S.row_mean(F.col("m1"), F.col("m3"), F.col("m5")).alias("row_mean")).filter("row_mean is not null")
+    return human(spark, sf_dir, "m1", "m3", "m5").select("human_id", S.row_mean(F.col("m1"), F.col("m3"), F.col("m5")).alias("row_mean")).filter("row_mean is not null")
 
 
 _CANON = lambda t: ", ".join(f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') k_{c}" for c in KEYS)
@@ -156,7 +158,7 @@ p as (select human_id, eval_id, h.m1 h_m1, l.m1 l_m1, h.m3 h_m3, l.m3 l_m3 from
 def _paired(spark, sf_dir, how="inner"):
     keyed = lambda df, i: df.select(i, *(canonical_key(k).alias(f"k_{k}") for k in KEYS), "m1", "m3")
     keys = [f"k_{k}" for k in KEYS]
-    return R.paired(keyed(human(spark, sf_dir), "human_id"), keyed(llm(spark, sf_dir), "eval_id"), keys, how, "h_", "l_").withColumnsRenamed({"h_human_id": "human_id", "l_eval_id": "eval_id"})
+    return R.paired(keyed(human(spark, sf_dir, *KEYS, "m1", "m3"), "human_id"), keyed(llm(spark, sf_dir, *KEYS, "m1", "m3"), "eval_id"), keys, how, "h_", "l_").withColumnsRenamed({"h_human_id": "human_id", "l_eval_id": "eval_id"})
 
 
 @query(f"with {_PAIRED} select * from p where abs(h_m1 - l_m1) >= 2 or abs(h_m3 - l_m3) >= 2")
@@ -186,7 +188,7 @@ def anti_join(spark, sf_dir):
 
 @query(f"select evaluator, min(especie) first_open from (select evaluator, especie, list(distinct tier) t from {_HUMAN} where evaluator is not null and especie is not null group by all) where not list_has_all(t, ['T0', 'T1', 'T3']) group by all")
 def first_incomplete(spark, sf_dir):
-    done = human(spark, sf_dir).filter("evaluator is not null and especie is not null").groupBy("evaluator", "especie").agg(F.collect_set("tier").alias("t"))
+    done = human(spark, sf_dir, "evaluator", "especie", "tier").filter("evaluator is not null and especie is not null").groupBy("evaluator", "especie").agg(F.collect_set("tier").alias("t"))
     open_ = done.filter(F.size(F.array_except(F.array(*map(F.lit, TIERS)), "t")) > 0)
     return open_.groupBy("evaluator").agg(F.min("especie").alias("first_open"))
 
@@ -194,12 +196,12 @@ def first_incomplete(spark, sf_dir):
 @query("select s.species especie, t.tier from species_reference s cross join (select tier from tier_defs) t where not exists (select 1 from llm_evaluations l where l.especie = s.species and l.tier = t.tier)")
 def cross_plan_anti_done(spark, sf_dir):
     species = table(spark, sf_dir, "species_reference").select(F.col("species").alias("especie"))
-    return R.work_plan([species, table(spark, sf_dir, "tier_defs").select("tier")], llm(spark, sf_dir), ["especie", "tier"])
+    return R.work_plan([species, table(spark, sf_dir, "tier_defs").select("tier")], llm(spark, sf_dir, "especie", "tier"), ["especie", "tier"])
 
 
 @query(f"with m as (select especie, tier, round(avg(score_compuesto::double), 6) v from {_LLM} where tier in ('T0', 'T1', 'T3') and especie is not null group by all having avg(score_compuesto) is not null) select x.especie, x.tier a, y.tier b, x.v value_a, y.v value_b from m x join m y on x.especie = y.especie and x.tier < y.tier")
 def pairwise_tiers(spark, sf_dir):
-    m = rounded(llm(spark, sf_dir).filter(F.col("tier").isin(*TIERS) & F.col("especie").isNotNull()).groupBy("especie", "tier").agg(F.avg(F.col("score_compuesto").cast("double")).alias("v")).filter("v is not null"))
+    m = rounded(llm(spark, sf_dir, "especie", "tier", SCORE).filter(F.col("tier").isin(*TIERS) & F.col("especie").isNotNull()).groupBy("especie", "tier").agg(F.avg(F.col("score_compuesto").cast("double")).alias("v")).filter("v is not null"))
     return R.unordered_pairs(m, ["especie"], "tier", "v")
 
 
@@ -216,17 +218,19 @@ def model_family(spark, sf_dir):
 
 
 _J = "(select distinct * from judge_evals)"
-_AVG = lambda m: f"case when a.{m} is null and b.{m} is null then null when a.{m} is null then b.{m}::double when b.{m} is null then a.{m}::double else (a.{m} + b.{m}) / 2.0 end"
+_MARKS = {"m1": "m1_precision_geografica", "m2": "m2_precision_altitudinal", "m3": "m3_relevancia_respuesta", "m4": "m4_variable_climatica", "m5": "m5_profundidad_analitica"}
+_NUM = lambda side, m: f"try_cast(judge_{side}_scores.{_MARKS[m]}::varchar as double)"
+_TEXT = lambda side, m: f"judge_{side}_scores.{_MARKS[m]}::varchar"
+_BOTH = lambda m: f"case when {_TEXT('a', m)} = 'N/A' or {_TEXT('b', m)} = 'N/A' then 'N/A' else coalesce(coalesce(round(({_NUM('a', m)} + {_NUM('b', m)}) / 2, 2), {_NUM('a', m)})::varchar, {_TEXT('a', m)}) end"
+_GAP = "coalesce(greatest(" + ", ".join(f"abs({_NUM('a', m)} - {_NUM('b', m)})" for m in _MARKS) + "), 0)"
 
 
-@query(f"select judge_id, case when a.m2 = 'N/A' or b.m2 = 'N/A' then 'N/A' else null end m2_na, greatest(abs(a.m1 - b.m1), abs(a.m3 - b.m3), abs(a.m5 - b.m5), 0)::double diff, greatest(abs(a.m1 - b.m1), abs(a.m3 - b.m3), abs(a.m5 - b.m5), 0) >= 2 disagree from (select judge_id, {{'m1': judge_a_scores.m1_precision_geografica, 'm2': judge_a_scores.m2_precision_altitudinal, 'm3': judge_a_scores.m3_relevancia_respuesta, 'm5': judge_a_scores.m5_profundidad_analitica}} a, {{'m1': judge_b_scores.m1_precision_geografica, 'm2': judge_b_scores.m2_precision_altitudinal, 'm3': judge_b_scores.m3_relevancia_respuesta, 'm5': judge_b_scores.m5_profundidad_analitica}} b from {_J})")
+@query(f"select judge_id, {', '.join(f'{_BOTH(m)} {m}' for m in _MARKS)}, {_GAP}::double diff, {_GAP} >= 2 disagree from {_J}")
 def judge_average_disagree(spark, sf_dir):
     t = table(spark, sf_dir, "judge_evals").distinct()
     a, b = (lambda f: F.col(f"judge_a_scores.{f}")), (lambda f: F.col(f"judge_b_scores.{f}"))
-    names = ("m1_precision_geografica", "m3_relevancia_respuesta", "m5_profundidad_analitica")
-    diff = S.largest_difference([(a(n), b(n)) for n in names])
-    m2 = S.judge_mean(a("m2_precision_altitudinal"), b("m2_precision_altitudinal"))
-    return t.select("judge_id", F.when(m2 == "N/A", m2).alias("m2_na"), diff.alias("diff"), (diff >= S.DISAGREE).alias("disagree"))
+    diff = S.largest_difference([(a(n), b(n)) for n in _MARKS.values()])
+    return t.select("judge_id", *(S.judge_mean(a(n), b(n)).alias(m) for m, n in _MARKS.items()), diff.alias("diff"), (diff >= S.DISAGREE).alias("disagree"))
 
 
 def _numbers(a: str) -> str:
@@ -268,11 +272,11 @@ r as (select *, rank() over (partition by block order by v) + (count(*) over (pa
 
 @query(f"with {_BLOCKS}, t as (select sum(t * t * t - t) ties from (select count(*) t from b group by block, v)), s as (select sum(x * x) rr, max(n) n from (select sum(rk) x, count(*) n from r group by label)), c as (select (12 * rr / (n * 12) - 3 * n * 4) / (1 - ties / (n * 24.0)) chi2, n from s, t) select round(chi2, 6) chi2, n::bigint n_blocks, 3 k, round(chi2 / (3 * (n - 1)), 6) w_code, round(chi2 / (n * 2), 6) w_textbook from c")
 def friedman_chi2(spark, sf_dir):
-    return rounded(Q.friedman(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto").drop("p"))
+    return rounded(Q.friedman(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto").drop("p"))
 
 
 def friedman_p(spark, sf_dir):
-    return Q.friedman(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto")
+    return Q.friedman(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto")
 
 
 QUERIES["friedman_p"] = friedman_p
@@ -286,11 +290,11 @@ select a, b, n, coalesce(nz, 0) n_nonzero, case when n >= 5 then w end::double w
 
 @query(_WILCOXON)
 def wilcoxon_pairs(spark, sf_dir):
-    return rounded(Q.wilcoxon_pairs(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto").drop("p", "p_bonferroni"))
+    return rounded(Q.wilcoxon_pairs(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto").drop("p", "p_bonferroni"))
 
 
 def wilcoxon_p(spark, sf_dir):
-    return Q.wilcoxon_pairs(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto")
+    return Q.wilcoxon_pairs(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto")
 
 
 QUERIES["wilcoxon_p"] = wilcoxon_p
@@ -298,16 +302,16 @@ QUERIES["wilcoxon_p"] = wilcoxon_p
 
 @query(f"with x as (select tier g, score_compuesto::double v from {_LLM} where tier is not null and score_compuesto is not null), p as (select g, count(*) n, avg(v) m, var_pop(v) s from x group by g), t as (select sum(n) n, count(*) k, sum(n * m) sm, sum(n * m * m) smm, sum(n * s) w from p) select round(((smm - sm * sm / n) / (k - 1)) / (w / (n - k)), 6) f, (k - 1)::bigint df_between, (n - k)::bigint df_within from t")
 def anova_f(spark, sf_dir):
-    return rounded(Q.anova(llm(spark, sf_dir), "tier", "score_compuesto").drop("p"))
+    return rounded(Q.anova(llm(spark, sf_dir, "tier", SCORE), "tier", "score_compuesto").drop("p"))
 
 
 @query(f"with x as (select tier g, score_compuesto::double v from {_LLM} where tier is not null and score_compuesto is not null), p as (select g, count(*) n, avg(v) m, var_pop(v) s from x group by g), e as (select sum(n * s) / (sum(n) - count(*)) mse from p) select a.g a, b.g b, round(b.m - a.m, 6) + 0.0 difference, round(sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) se, round(abs(b.m - a.m) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) q from p a join p b on a.g < b.g, e")
 def tukey_differences(spark, sf_dir):
-    return rounded(Q.pairwise_differences(llm(spark, sf_dir), "tier", "score_compuesto"))
+    return rounded(Q.pairwise_differences(llm(spark, sf_dir, "tier", SCORE), "tier", "score_compuesto"))
 
 
 def bootstrap_ci(spark, sf_dir):
-    return Q.bootstrap_ci(llm(spark, sf_dir), ["tier"], "score_compuesto")
+    return Q.bootstrap_ci(llm(spark, sf_dir, "tier", SCORE), ["tier"], "score_compuesto")
 
 
 QUERIES["bootstrap_ci"] = bootstrap_ci
@@ -320,22 +324,22 @@ def expert_calibration(spark, sf_dir):
 
 @query(f"select disagree_flag label, count(*) n from {_LLM} where disagree_flag is not null and needs_human_review is not null and disagree_flag = needs_human_review group by all")
 def agreement_diagonal(spark, sf_dir):
-    return A.confusion(llm(spark, sf_dir), "disagree_flag", "needs_human_review").filter("disagree_flag = needs_human_review").select(F.col("disagree_flag").alias("label"), "n")
+    return A.confusion(llm(spark, sf_dir, "disagree_flag", "needs_human_review"), "disagree_flag", "needs_human_review").filter("disagree_flag = needs_human_review").select(F.col("disagree_flag").alias("label"), "n")
 
 
 @query(f"select disagree_flag, taxonomy_valid, count(*) n from {_LLM} where disagree_flag is not null and taxonomy_valid is not null group by all")
 def confusion_matrix(spark, sf_dir):
-    return A.confusion(llm(spark, sf_dir), "disagree_flag", "taxonomy_valid")
+    return A.confusion(llm(spark, sf_dir, "disagree_flag", "taxonomy_valid"), "disagree_flag", "taxonomy_valid")
 
 
 @query(f"with x as (select disagree_flag y, score_compuesto::double s from {_LLM} where disagree_flag is not null and score_compuesto is not null), r as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 rk from x), t as (select sum(rk) filter (where y = 1) r, count(*) filter (where y = 1) n1, count(*) filter (where y = 0) n0 from r) select round((r - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) auc, n1, n0 from t")
 def rank_auc(spark, sf_dir):
-    return rounded(W.rank_auc(llm(spark, sf_dir).withColumn("s", F.col("score_compuesto").cast("double")), "disagree_flag", "s"))
+    return rounded(W.rank_auc(llm(spark, sf_dir, "disagree_flag", SCORE).withColumn("s", F.col("score_compuesto").cast("double")), "disagree_flag", "s"))
 
 
 @query(f"with x as (select distinct eval_id, taxonomy_valid from {_LLM} where taxonomy_valid is not null), r as (select *, row_number() over (partition by taxonomy_valid order by eval_id) i, count(*) over (partition by taxonomy_valid) n from x) select eval_id, taxonomy_valid, i <= floor(n * 0.2) is_test from r")
 def stratified_split(spark, sf_dir):
-    return W.stratified_split(llm(spark, sf_dir).filter("taxonomy_valid is not null").select("eval_id", "taxonomy_valid").distinct(), "taxonomy_valid", "eval_id")
+    return W.stratified_split(llm(spark, sf_dir, "taxonomy_valid").filter("taxonomy_valid is not null").select("eval_id", "taxonomy_valid").distinct(), "taxonomy_valid", "eval_id")
 
 
 @query("select username, lag(username) over (order by username) prev, lead(username) over (order by username) as next, row_number() over (order by username) place, count(*) over () places from (select username from expert_sessions)")
@@ -351,7 +355,7 @@ def latest_per_group(spark, sf_dir):
 
 @query(f"select count(*) n from {_HUMAN}")
 def dedup_rows(spark, sf_dir):
-    return human(spark, sf_dir).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "human_evaluations").distinct().agg(F.count("*").alias("n"))
 
 
 @query("select count(*) n, count(m1) n_m1, count(taxonomy_valid) n_valid, count(evaluator) n_evaluator from (select exp_id, tier, m1, taxonomy_valid::varchar taxonomy_valid, null::varchar evaluator from llm_evaluations union all by name select exp_id, tier, m1, evaluator from human_evaluations)")
@@ -363,7 +367,7 @@ def union_missing_cols(spark, sf_dir):
 
 @query("select exp_id from (select distinct exp_id from human_evaluations) where exp_id is not null except select exp_id from experiments")
 def except_keys(spark, sf_dir):
-    return R.keys_missing(human(spark, sf_dir).filter("exp_id is not null"), table(spark, sf_dir, "experiments"), "exp_id")
+    return R.keys_missing(human(spark, sf_dir, "exp_id").filter("exp_id is not null"), table(spark, sf_dir, "experiments"), "exp_id")
 
 
 @query("select eval_id, coalesce((tier = 'T0')::int, 0) \"is_T0\", coalesce((tier = 'T1')::int, 0) \"is_T1\", coalesce((tier = 'T3')::int, 0) \"is_T3\" from llm_evaluations")
@@ -381,7 +385,7 @@ def upsert_merge(spark, sf_dir):
 @query("select username from expert_sessions union all select * from (select distinct evaluator from human_evaluations where evaluator is not null) where evaluator not in (select username from expert_sessions)")
 def insert_absent(spark, sf_dir):
     have = table(spark, sf_dir, "expert_sessions").select("username")
-    new = human(spark, sf_dir).select(F.col("evaluator").alias("username")).filter("username is not null").distinct()
+    new = human(spark, sf_dir, "evaluator").select(F.col("evaluator").alias("username")).filter("username is not null").distinct()
     return R.insert_absent(have, new, ["username"])
 
 
@@ -429,13 +433,13 @@ def next_free_counter(spark, sf_dir):
 
 @query(f"with m as (select tier, avg(m2::double) v from {_LLM} where m2 is not null and not isnan(m2) group by all) select l.eval_id, round(coalesce(case when isnan(m2) then null else m2::double end, v), 6) m2 from {_LLM} l left join m using (tier)")
 def mean_imputation(spark, sf_dir):
-    return rounded(A.filled_with_mean(llm(spark, sf_dir).select("eval_id", "tier", "m2"), ["tier"], "m2").select("eval_id", "m2"))
+    return rounded(A.filled_with_mean(llm(spark, sf_dir, "tier", "m2").select("eval_id", "tier", "m2"), ["tier"], "m2").select("eval_id", "m2"))
 
 
 @query("select x.tier, x.eval_id a, y.human_id b from (select tier, eval_id, row_number() over (partition by tier order by eval_id) i from (select distinct tier, eval_id from llm_evaluations) where tier is not null) x join (select tier, human_id, row_number() over (partition by tier order by human_id) i from (select distinct tier, human_id from human_evaluations)) y using (tier, i)")
 def positional_zip(spark, sf_dir):
-    a = llm(spark, sf_dir).select("tier", "eval_id").distinct().filter("tier is not null")
-    b = human(spark, sf_dir).select("tier", "human_id").distinct()
+    a = llm(spark, sf_dir, "tier").select("tier", "eval_id").distinct().filter("tier is not null")
+    b = human(spark, sf_dir, "tier").select("tier", "human_id").distinct()
     ra = W.value_ranks(a, ["tier"], "eval_id").select("tier", "eval_id", F.col("rank").alias("i"))
     rb = W.value_ranks(b, ["tier"], "human_id").select("tier", "human_id", F.col("rank").alias("i"))
     return ra.join(rb, ["tier", "i"]).select("tier", F.col("eval_id").alias("a"), F.col("human_id").alias("b"))
@@ -453,7 +457,7 @@ def independent_judge(spark, sf_dir):
 
 @query(f"with m as (select especie, round(avg(score_compuesto::double) filter (where tier = 'T0'), 6) a, round(avg(score_compuesto::double) filter (where tier = 'T1'), 6) b, round(avg(score_compuesto::double) filter (where tier = 'T3'), 6) c from {_LLM} group by all) select count(*) filter (where c >= b and b >= a) n_in_order, count(*) filter (where a is not null and b is not null and c is not null) n from m")
 def calibration_rank(spark, sf_dir):
-    m = rounded(A.pivot_mean(llm(spark, sf_dir), "especie", "tier", TIERS, "score_compuesto"))
+    m = rounded(A.pivot_mean(llm(spark, sf_dir, "especie", "tier", SCORE), "especie", "tier", TIERS, "score_compuesto"))
     full = F.col("T0").isNotNull() & F.col("T1").isNotNull() & F.col("T3").isNotNull()
     return m.agg(F.count_if(S.descending(F.col("T3"), F.col("T1"), F.col("T0"))).alias("n_in_order"), F.count_if(full).alias("n"))
 
@@ -461,13 +465,13 @@ def calibration_rank(spark, sf_dir):
 @query(f"select l.eval_id, coalesce(e.persona, l.perfil, 'random') persona from (select distinct eval_id, exp_id, perfil from {_LLM}) l left join (select exp_id, min(persona) persona from experiments group by all) e using (exp_id)")
 def persona_assignment(spark, sf_dir):
     log = table(spark, sf_dir, "experiments").groupBy("exp_id").agg(F.min("persona").alias("logged"))
-    rows = llm(spark, sf_dir).select("eval_id", "exp_id", "perfil").distinct()
+    rows = llm(spark, sf_dir, "exp_id", "perfil").select("eval_id", "exp_id", "perfil").distinct()
     return rows.join(log, "exp_id", "left").select("eval_id", F.coalesce("logged", "perfil", F.lit("random")).alias("persona"))
 
 
 @query(f"select eval_id, case tier when 'T0' then 'question' when 'T1' then 'question+ficha' when 'T3' then 'question+ficha+model' else 'none' end context from {_LLM}")
 def tier_context(spark, sf_dir):
-    return llm(spark, sf_dir).select("eval_id", R.remap("tier", {"T0": "question", "T1": "question+ficha", "T3": "question+ficha+model"}, F.lit("none")).alias("context"))
+    return llm(spark, sf_dir, "tier").select("eval_id", R.remap("tier", {"T0": "question", "T1": "question+ficha", "T3": "question+ficha+model"}, F.lit("none")).alias("context"))
 
 
 def seeded_sample(spark, sf_dir):
@@ -477,7 +481,7 @@ def seeded_sample(spark, sf_dir):
 
 def question_assignment(spark, sf_dir):
     pool = {"turista": [f"t{i}" for i in range(10)], "botanico": [f"b{i}" for i in range(17)], "random": ["r0", "r1"]}
-    items = llm(spark, sf_dir).filter("perfil in ('turista', 'botanico', 'random')").select("especie", "perfil").distinct()
+    items = llm(spark, sf_dir, "especie", "perfil").filter("perfil in ('turista', 'botanico', 'random')").select("especie", "perfil").distinct()
     return W.cyclic_assignment(items, "especie", "perfil", pool)
 
 

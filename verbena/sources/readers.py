@@ -80,15 +80,15 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """(poly_id, name, ring): outer rings of the polygons of feature collections; parts of multipolygons are rows of their own."""
+    """(poly_id, name, ring, holes): the polygons of feature collections; parts of multipolygons are rows of their own."""
     schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]))])))])
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("i", "f"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     parts = F.when(F.col("f.geometry.type") == "MultiPolygon", many).otherwise(F.array(one))
     rows = f.select("i", F.col("f.properties").getItem(name).alias("name"), F.posexplode(parts).alias("k", "rings"))
-    ring = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return rows.select(F.concat_ws("-", "i", "k").alias("poly_id"), "name", ring.alias("ring")).filter("ring is not null")
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return rows.select(F.concat_ws("-", "i", "k").alias("poly_id"), "name", F.get(rings, F.lit(0)).alias("ring"), F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes")).filter("ring is not null")
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = "", part: str = "") -> DataFrame:
@@ -117,6 +117,12 @@ def occurrences(df: DataFrame, box: tuple[float, float, float, float], limit: in
     return got if limit is None else got.limit(limit)
 
 
+def facets(df: DataFrame, key: str, offset: int, limit: int, at_least: int = 1) -> DataFrame:
+    """(key, n): one page of the counts per key, the most frequent first (ties by key)."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
+    return counts.orderBy(F.desc("n"), key).offset(offset).limit(limit)
+
+
 def jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """A database table read in parallel ranges of a numeric column."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, **options).load()

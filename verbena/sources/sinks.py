@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import first_gap
 from ..runtime import at_most
 
 REPORT_ROWS = 100_000
@@ -19,7 +20,7 @@ def _report(df: DataFrame) -> DataFrame:
 
 
 def csv(df: DataFrame, path: str, append: bool = False, one_file: bool = False) -> None:
-    (_report(df) if one_file else df).write.mode("append" if append else "overwrite").options(header=True, quote='"', escape='"').csv(path)
+    (_report(df) if one_file else df).write.mode("append" if append else "overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -30,6 +31,25 @@ def parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), append:
     df.write.mode("append" if append else "overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def parquet_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> bool:
+    """Writes a table unless a complete one is there; whether it wrote."""
+    spark = df.sparkSession
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        return False
+    parquet(df, path, partition_by)
+    return True
+
+
+def allocated(runs: DataFrame, day: str, label: str, name: str = "exp_id") -> DataFrame:
+    """(run_id): the next id EXP-YYYYMMDD-NNN-label of a day (YYYYMMDD): the lowest number the runs leave free, not the highest plus one."""
+    parts = F.split(name, "-")
+    taken = runs.filter(F.col(name).rlike(rf"^EXP-{day}-\d+-")).select(F.lit(day).alias("day"), F.get(parts, F.lit(2)).cast("bigint").alias("c"))
+    one = taken.sparkSession.createDataFrame([(day,)], "day string")
+    free = one.join(first_gap(taken, ["day"], "c"), "day", "left").select(F.coalesce("next_free", F.lit(1)).alias("c"))
+    return free.select(F.format_string("EXP-%s-%03d-%s", F.lit(day), F.col("c").cast("int"), F.lit(label)).alias("run_id"))
+
+
 def markdown(df: DataFrame, digits: int = 3) -> str:
     """A report table as text."""
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
