@@ -58,16 +58,25 @@ def ensemble(a: Column, b: Column, label_a: Column, label_b: Column, tier: Colum
     """
     lost_a, lost_b = a.isNull(), b.isNull()
     x, y = F.coalesce(a, b), F.coalesce(b, a)
-    gap = largest_difference([(x[m], y[m]) for m in metrics])
-    mean = {m: judge_mean(x[m], y[m]) for m in metrics}
-    score = F.round(composite(*(mean[m] for m in metrics), tier, profile, taxonomy_valid, digits=4), 4)
-    disagree = gap >= DISAGREE
+    pairs = F.array(*(F.struct(x[m].cast("string").alias("a"), y[m].cast("string").alias("b")) for m in metrics))
+    told = F.transform(pairs, lambda p: F.struct(judge_mean(p["a"], p["b"]).alias("mean"), largest_difference([(p["a"], p["b"])]).alias("gap")))
     third = F.lit(None).cast("string") if third is None else third
-    result = F.struct(
-        F.when(lost_a, label_b).otherwise(label_a).alias("judge_a_label"), F.when(lost_b, label_a).otherwise(label_b).alias("judge_b_label"), F.when(disagree, third).alias("judge_c_scores"),
-        *(v.alias(m) for m, v in mean.items()), score.alias("score_compuesto"), gap.alias("max_metric_diff"), disagree.alias("disagree_flag"), (disagree & third.isNotNull()).alias("used_tiebreaker"), disagree.alias("needs_human_review"),
-    )
-    return F.when(~(lost_a & lost_b), result)
+    labels = F.struct(F.when(lost_a, label_b).otherwise(label_a).alias("a"), F.when(lost_b, label_a).otherwise(label_b).alias("b"))
+    valid = F.lit(True) if taxonomy_valid is None else taxonomy_valid.cast("boolean")
+
+    def result(s: Column) -> Column:
+        mean = [s["told"][i]["mean"] for i in range(len(metrics))]
+        gap = F.array_max(F.transform(s["told"], lambda t: t["gap"]))
+        disagree = gap >= DISAGREE
+        score = F.round(composite(*mean, s["tier"], s["profile"], s["valid"], digits=4), 4)
+        return F.struct(
+            s["labels"]["a"].alias("judge_a_label"), s["labels"]["b"].alias("judge_b_label"), F.when(disagree, s["third"]).alias("judge_c_scores"),
+            *(v.alias(m) for m, v in zip(metrics, mean)), score.alias("score_compuesto"), gap.alias("max_metric_diff"), disagree.alias("disagree_flag"), (disagree & s["third"].isNotNull()).alias("used_tiebreaker"), disagree.alias("needs_human_review"),
+        )
+
+    # One element of an array, so that the marks are read once and the expression stays small enough to be compiled.
+    all_ = F.struct(told.alias("told"), labels.alias("labels"), tier.alias("tier"), profile.alias("profile"), valid.alias("valid"), third.alias("third"))
+    return F.when(~(lost_a & lost_b), F.get(F.transform(F.array(all_), result), F.lit(0)))
 
 
 def taxonomy_valid(status: Column, confidence: Column, least: int = 80) -> Column:

@@ -122,7 +122,7 @@ def multimodal_patches(spark, sf_dir):
 _CENTRES = f"g as (select i // 36 r, i % 36 c, -86.0::double + (i % 36 + 0.5::double) * 0.1::double lon, 11.5::double + (i // 36 + 0.5::double) * (-0.1::double) lat from range(1296) t(i)), e(poly_id, name, j, x1, y1, x2, y2) as (values {_EDGES}), k as (select r, c from g, e group by r, c, poly_id having sum(case when (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (case when y2 <> y1 then y2 - y1 else 1 end) + x1 then 1 else 0 end) % 2 = 1)"
 
 
-@query(f"with {_CENTRES} select r as \"row\", c as col, layer, case when (r * 36 + c) % 37 = 0 then -9999.0 else ((r * 31 + c * f) % 101) end::double as \"value\" from (select distinct r, c from k), (values ('bio_14', 17), ('bio_15', 43)) l(layer, f)")
+@query(f"with {_CENTRES} select r::int as \"row\", c::int as col, layer, case when (r * 36 + c) % 37 = 0 then -9999.0 else ((r * 31 + c * f) % 101) end::double as \"value\" from (select distinct r, c from k), (values ('bio_14', 17), ('bio_15', 43)) l(layer, f)")
 def clipped_raster(spark, sf_dir):
     """A raster cut to the polygons: the pixels whose centres lie inside."""
     return G.pixels_inside(pixels(spark), GRID, polygons(spark), 0.5)
