@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..runtime import checked_join, materialise, spread
@@ -41,6 +40,7 @@ MISSING = "N/A"
 _KINDS = ["array", "boolean", "number", "object", "string"]
 _SERIES = ["producer", "feed"]
 _FILE = [*_SERIES, "file_seq", "file_name"]
+_SIDE = ("field_path", "low", "high", "broken", "sketch")
 
 
 def fields(records: DataFrame, nested: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -160,19 +160,27 @@ def content_likeness(a, b) -> float:
     return max(_covered(s[s & 1 == 0], t[t & 1 == 0]), 0.8 * _covered(s[s & 1 == 1], t[t & 1 == 1]))
 
 
-def weight(a, b) -> float:
-    ka, kb = set(a.kinds), set(b.kinds)
-    name = name_likeness(a.field_path.split(".")[-1], b.field_path.split(".")[-1])
-    if not ka or not kb:
-        return name if name >= 0.6 else 0.0
-    if not ka & kb:
-        return name if name >= 0.9 else 0.0
-    if (ka & kb) <= {"number", "boolean"}:  # their values say little
-        like = SAME_BOOLEAN if ka & kb == {"boolean"} else content_likeness(a, b)
-        # By chance, names so frequent would have met in a file; that they never do is some evidence that one replaces the other.
-        apart = min(1.0, a.n_files * b.n_files / max(1.0, EXPECTED * a.n_total))
-        return 0.65 * name + 0.8 * like + APART * apart
-    return 0.45 * name + 0.75 * content_likeness(a, b)
+def _likeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Name and content likeness of pairs of names (o_ and n_ columns: their profiles over the feed)."""
+    for pdf in batches:
+        sides = [pdf[[f"{s}_{c}" for c in _SIDE]].set_axis(list(_SIDE), axis=1).itertuples(index=False) for s in "on"]
+        pairs = list(zip(*sides))
+        last = lambda p: p.field_path.rsplit(".", 1)[-1]
+        yield pd.DataFrame({"feed": pdf["feed"], "old_path": [a.field_path for a, _ in pairs], "new_path": [b.field_path for _, b in pairs], "name": [name_likeness(last(a), last(b)) for a, b in pairs], "like": [content_likeness(a, b) for a, b in pairs], "apart": pdf["apart"]})
+
+
+def weight() -> F.Column:
+    """Weight of a pair by name, like, apart and the kinds both have in their files (o_kinds, n_kinds)."""
+    name, like, both = F.col("name"), F.col("like"), F.array_intersect("o_kinds", "n_kinds")
+    plain = F.size(F.array_except(both, F.array(F.lit("number"), F.lit("boolean")))) == 0  # their values say little
+    like_plain = F.when((F.size(both) == 1) & (both[0] == "boolean"), SAME_BOOLEAN).otherwise(like)
+    # By chance, names so frequent would have met in a file; that they never do is some evidence that one replaces the other.
+    return (
+        F.when((F.size("o_kinds") == 0) | (F.size("n_kinds") == 0), F.when(name >= 0.6, name))
+        .when(F.size(both) == 0, F.when(name >= 0.9, name))
+        .when(plain, 0.65 * name + 0.8 * like_plain + APART * F.col("apart"))
+        .otherwise(0.45 * name + 0.75 * like)
+    )
 
 
 def best_matching(w: np.ndarray) -> list[tuple[int, int]]:
@@ -204,19 +212,13 @@ def best_matching(w: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _match(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one file: its gone and new fields, with the pairs that stand side by side elsewhere."""
-    gone, new = rows[rows.side == "gone"].drop_duplicates("field_path"), rows[rows.side == "new"].drop_duplicates("field_path")
-    apart = {(a, b) for a, b in zip(rows.field_path, rows.beside) if b is not None for b in b}
-    g, n = list(gone.itertuples()), list(new.itertuples())
-    w = np.zeros((len(g), len(n)))
-    for i, a in enumerate(g):
-        for j, b in enumerate(n):
-            if a.field_path.rpartition(".")[0] == b.field_path.rpartition(".")[0] and (a.field_path, b.field_path) not in apart:
-                x = weight(a, b)
-                w[i, j] = x if x >= LEAST else 0
-    pairs = best_matching(w) if g and n else []
+    """The best matching of one file's pairs (old_path, new_path, weight)."""
+    old, new = sorted(set(rows.old_path)), sorted(set(rows.new_path))
+    w = np.zeros((len(old), len(new)))
+    for a, b, x in zip(rows.old_path, rows.new_path, rows.weight):
+        w[old.index(a), new.index(b)] = x
     file = {c: rows[c].iloc[0] for c in _FILE}
-    return pd.DataFrame([file | {"old_path": g[i].field_path, "new_path": n[j].field_path, "weight": float(w[i, j])} for i, j in pairs], columns=[*_FILE, "old_path", "new_path", "weight"])
+    return pd.DataFrame([file | {"old_path": old[i], "new_path": new[j], "weight": float(w[i, j])} for i, j in best_matching(w)], columns=[*_FILE, "old_path", "new_path", "weight"])
 
 
 class Drift:
@@ -241,24 +243,30 @@ class Drift:
         self.renames = materialise(self._renames(), "drift-renames")
 
     def _renames(self) -> DataFrame:
-        gone = self.pairs.filter("n_kinds is null").select(*_FILE, "field_path", F.col("o_kinds").alias("kinds"), F.lit("gone").alias("side"))
-        new = self.pairs.filter("o_kinds is null").select(*_FILE, "field_path", F.col("n_kinds").alias("kinds"), F.lit("new").alias("side"))
-        cand = gone.select(*_FILE, F.col("field_path").alias("old_path")).join(new.select(*_FILE, F.col("field_path").alias("new_path")), _FILE)
+        gone = self.pairs.filter("n_kinds is null").select(*_FILE, F.col("field_path").alias("old_path"), "o_kinds")
+        new = self.pairs.filter("o_kinds is null").select(*_FILE, F.col("field_path").alias("new_path"), "n_kinds")
+        parent = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
+        cand = materialise(gone.join(new, _FILE).filter(parent("old_path") == parent("new_path")), "drift-candidates")
         names = materialise(cand.select("feed", "old_path", "new_path").distinct(), "drift-names")
         have = checked_join(self.profile.select(*_FILE, F.col("field_path").alias("old_path")), names, ["feed", "old_path"], salt_on=["file_name"])
-        both = have.join(self.profile.select(*_FILE, F.col("field_path").alias("new_path")), [*_FILE, "new_path"], "left_semi")
-        beside = both.groupBy("feed", "old_path").agg(F.collect_set("new_path").alias("beside")).withColumnRenamed("old_path", "field_path")
-        active = cand.select(*_FILE).distinct()
-        rows = gone.unionByName(new).join(active, _FILE, "left_semi")
-        beside = materialise(beside, "drift-beside")
-        rows = checked_join(rows, beside, ["feed", "field_path"], "left", salt_on=["file_name"])
+        beside = have.join(self.profile.select(*_FILE, F.col("field_path").alias("new_path")), [*_FILE, "new_path"], "left_semi").select("feed", "old_path", "new_path").distinct()
+        names = names.join(beside, ["feed", "old_path", "new_path"], "left_anti")
+        # Each pair of names is compared once per feed, however many files it stands in.
         totals = self.profile.select(*_FILE).distinct().groupBy("feed").agg(F.count("*").alias("n_total"))
-        named = materialise(of_feed(self.profile).join(totals, "feed"), "drift-names")
-        rows = checked_join(rows, named, ["feed", "field_path"], "left", salt_on=["file_name"])
-        schema = T.StructType([rows.schema[c] for c in _FILE] + [T.StructField("old_path", T.StringType()), T.StructField("new_path", T.StringType()), T.StructField("weight", T.DoubleType())])
-        # A partitioning of its own, which the joins above cannot stand in for: few bytes, but costly groups.
-        binned = spread(rows.withColumn("__bin", F.xxhash64(*_FILE)), "__bin")
-        return binned.groupBy("__bin", *_FILE).applyInPandas(_match, schema)
+        named = materialise(of_feed(self.profile).join(totals, "feed"), "drift-named")
+        side = lambda s: named.select("feed", "n_total", *(F.col(c).alias(f"{s}_{c}") for c in (*_SIDE, "n_files")))
+        both = names.join(side("o").withColumn("old_path", F.col("o_field_path")), ["feed", "old_path"]).join(side("n").drop("n_total").withColumn("new_path", F.col("n_field_path")), ["feed", "new_path"])
+        apart = F.least(F.lit(1.0), F.col("o_n_files") * F.col("n_n_files") / F.greatest(F.lit(1.0), EXPECTED * F.col("n_total")))
+        told = spread(both.select("feed", *(f"{s}_{c}" for s in "on" for c in _SIDE), apart.alias("apart")), "o_field_path", "n_field_path")
+        likeness = materialise(told.mapInPandas(_likeness, "feed string, old_path string, new_path string, name double, like double, apart double"), "drift-likeness")
+        edges = checked_join(cand, likeness, ["feed", "old_path", "new_path"], salt_on=["file_name"]).withColumn("weight", weight()).filter(F.col("weight") >= LEAST)
+        edges = edges.select(*_FILE, "old_path", "new_path", "weight")
+        met = lambda c: F.count("*").over(Window.partitionBy(*_FILE, c))
+        edges = materialise(edges.withColumn("alone", (met("old_path") == 1) & (met("new_path") == 1)), "drift-edges")
+        # Pairs whose names have no other pair in the file belong to every best matching; only the others are matched file by file.
+        some = edges.filter("not alone").drop("alone")
+        binned = spread(some.withColumn("__bin", F.xxhash64(*_FILE)), "__bin")
+        return edges.filter("alone").drop("alone").unionByName(binned.groupBy("__bin", *_FILE).applyInPandas(_match, some.schema))
 
     def changes(self) -> DataFrame:
         """(_FILE, field_path, change_kind): added, removed, renamed, type_changed."""
