@@ -127,7 +127,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR)
     n, m = F.size("lt"), F.size("rt")
     prefix = lambda k: F.slice("ts", 1, (F.size("ts") - F.ceil(F.size("ts") * threshold - 1e-9) + k).cast("int"))
     bits = lambda side: [_word(F.col("ts"), k).alias(f"{side}{k}") for k in range(_BIT_WORDS)]
-    a = spread(_ordered(left, rarity, ["l", "kind"]), "l").select("l", "kind", F.col("ts").alias("lt"), prefix(1).alias("one"), prefix(2).alias("two"), *bits("lb"))
+    a = _ordered(left, rarity, ["l", "kind"]).select("l", "kind", F.col("ts").alias("lt"), prefix(1).alias("one"), prefix(2).alias("two"), *bits("lb"))
+    a = materialise(spread(a, "l"), "names-own")  # or its bitmaps would be made again for every pair
     b = materialise(_ordered(right, rarity, ["r", "kind"]).select("r", "kind", F.col("ts").alias("rt"), prefix(1).alias("one"), prefix(2).alias("two"), *bits("rb")), "names-sets")
     need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
     alike = (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9)
@@ -139,16 +140,19 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR)
     y = b.select("*", F.explode(_keys()).alias("k")).select("r", "kind", "rt", F.col("two").alias("rp"), *(f"rb{k}" for k in range(_BIT_WORDS)), "k.key", F.col("k.place").alias("j"))
     y = materialise(y, "names-prefixes")
     most = F.col("got") + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
-    met = checked_join(x, y, ["kind", "key"], salt_on=["l"]).filter(alike & (most >= need) & (common + n - own >= need))
     first = F.array_intersect("lp", "rp")  # in the order of lp: each pair counts once, at its first shared token or two
-    met = met.filter(F.when(F.col("got") == 1, first[0]).otherwise(F.shiftleft(first[0], 32) + first[1]) == F.col("key")).select("l", "r", "kind", "lt", "rt")
+    here = F.when(F.col("got") == 1, first[0]).otherwise(F.shiftleft(first[0], 32) + first[1]) == F.col("key")
+    shared = F.size(F.array_intersect("lt", "rt"))
+    jaccard = shared / (n + m - shared)
+    # A case keeps the order: the cheap bounds are tested before any set is intersected.
+    fits = F.when(alike & (most >= need), F.when(common + n - own >= need, F.when(here, jaccard >= threshold - 1e-9)))
+    met = checked_join(x, y, ["kind", "key"], salt_on=["l"]).filter(F.coalesce(fits, F.lit(False))).select("l", "r", "kind", "lt", "rt")
 
     tiny = a.filter(F.size("lt") * threshold <= 1 + 1e-9).select("l", "kind", "lt", F.explode(F.filter("lt", lambda t: t % 2 == 1)).alias("key"))
     small = b.filter(F.size("rt") * threshold * threshold <= 1 + 1e-9).select("r", "kind", "rt", F.explode("rt").alias("key"))
-    single = checked_join(tiny, materialise(small, "names-small"), ["kind", "key"], salt_on=["l"]).filter(F.size(F.array_intersect("lt", "rt")) == 1).select("l", "r", "kind", "lt", "rt")
-    pairs = met.unionByName(single).filter(alike)
-    shared = F.size(F.array_intersect("lt", "rt"))
-    return pairs.withColumn("jaccard", shared / (n + m - shared)).filter(F.col("jaccard") >= threshold - 1e-9).select("l", "r", "kind", "jaccard")
+    single = checked_join(tiny, materialise(small, "names-small"), ["kind", "key"], salt_on=["l"]).filter((shared == 1) & (jaccard >= threshold - 1e-9)).select("l", "r", "kind", "lt", "rt")
+    pairs = met.unionByName(single).select("l", "r", "kind", jaccard.alias("jaccard"))
+    return materialise(pairs, "names-similar")  # so that later filters do not come before the bounds
 
 
 def _edits(a: str, b: str) -> int:
