@@ -46,16 +46,17 @@ WEIGHTS, SHARE, LONGEST = 1 << 16, 4e-6, 4096
 EXPECTED = 3.0
 
 _ENDS = frozenset(".!?…。！？।॥؟۔｡\"'”»」』)’")
-_BLANK = regex.compile(r"\n[^\S\n]*\n\s*")
+_BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _BULLET = regex.compile(r"\s*(?:[-•*–·▪◦‣]|\p{N}{1,3}[.)）]|[①-⑳])\s+")
 _TERMS = r".!?…。！？।॥؟۔｡"
 _FULL = "。！？।॥؟۔｡"
 _STOPS = "。।॥۔｡"
 _CLOSERS = r"”»」』\"'’)\]›“》）"
-_STOP = regex.compile(rf"(?P<term>[{_TERMS}]+(?:[   ][!?]+)?)(?P<close>(?:[   ]?»|[{_CLOSERS}])*)(?P<gap>\s*)")
+_STOP = re.compile(rf"(?P<term>[{_TERMS}]+(?:[   ][!?]+)?)(?P<close>(?:[   ]?»|[{_CLOSERS}])*)")
 _CLOSED = regex.compile(rf"(?P<term>[{_TERMS}]+)(?P<close>(?:\s{{0,2}}»|[{_CLOSERS}])+)")
 _MORE = frozenset(("", ".", "!", "?", "…"))
-_THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\S)|(?<=\S)\s+(?=\p{Thai})")
+_TH = "[\u0e01-\u0e3a\u0e40-\u0e5b]"
+_THAI = re.compile(rf"(?<={_TH})\s+(?=\S)|(?<=\S)\s+(?={_TH})")
 _TO_FOREIGN = regex.compile(r"(?<=\p{Thai})(\s+)(?=[«“\"¿¡(]?\p{Lu}\p{Ll}*(?:\s+[^\s\p{Thai}]+){3,}?[.!?…][”»\"]?(?:\s|$))")
 _HAS_THAI = re.compile("[\u0e01-\u0e5b]")
 _OPENERS = "«“„\"‘‚「『¿¡《（‹"
@@ -180,6 +181,10 @@ def candidates(text: str, block: Block) -> Iterator[Candidate]:
                 yield Candidate(m.start(), text[max(lo, m.start() - 4) : m.start()], "", "", "", True, _tail(text, m.end(), hi), m.start() in foreign)
 
 
+#: What stands between two blocks that are counted as one text.
+_PART = "\n\x00\n"
+
+
 class Counts:
     """Token counts of prose: kinds are stop, stop_end, all, after_number, cap, cap_inside, cluster, cluster_end."""
 
@@ -187,23 +192,33 @@ class Counts:
 
     def __init__(self) -> None:
         self.n = {k: Counter() for k in self.KINDS}
+        self.bodies: list[str] = []
+        self.size = 0
 
     def add(self, text: str) -> None:
-        n = self.n
         for b in blocks(text):
-            if b.kind != "prose":
-                continue
-            body = text[b.start : b.end]
-            n["all"].update(_SHORT.findall(body))
-            n["after_number"].update(_AFTER_NUMBER.findall(body))
-            n["cap"].update(_CAPITAL.findall(body))
-            n["cap_inside"].update(_CAPITAL_INSIDE.findall(body))
-            body = body.rstrip()
-            words = body.split()
-            stopped = [w[:-1].lstrip(_TRIM) for w in words if w[-1] == "." and w[-2:-1] not in _MORE]
-            n["stop"].update(stopped)
-            if stopped and words[-1][-1] == "." and words[-1][-2:-1] not in _MORE:
-                n["stop_end"][stopped[-1]] += 1
+            if b.kind == "prose":
+                self.bodies.append(text[b.start : b.end].strip())
+                self.size += b.end - b.start
+        if self.size > 1_000_000:
+            self.flush()
+
+    def flush(self) -> None:
+        """Counts the collected blocks all at once: each pattern runs over them as one text."""
+        n, bodies = self.n, self.bodies
+        self.bodies, self.size = [], 0
+        if not bodies:
+            return
+        whole = _PART.join(bodies)
+        n["all"].update(_SHORT.findall(whole))
+        n["after_number"].update(_AFTER_NUMBER.findall(whole))
+        n["cap"].update(_CAPITAL.findall(whole))
+        n["cap_inside"].update(_CAPITAL_INSIDE.findall(whole))
+        words = whole.split()
+        n["stop"].update(w[:-1].lstrip(_TRIM) for w in words if w[-1] == "." and w[-2:-1] not in _MORE)
+        ends = [body.rsplit(None, 1)[-1] for body in bodies]
+        n["stop_end"].update(w[:-1].lstrip(_TRIM) for w in ends if w[-1] == "." and w[-2:-1] not in _MORE)
+        for body in bodies:
             for m in _CLOSED.finditer(body):
                 close, at = _closing(body, 0, m)
                 if close:
@@ -212,6 +227,7 @@ class Counts:
                     n["cluster_end"][key] += at >= len(body)
 
     def rows(self) -> list[tuple[str, str, int]]:
+        self.flush()
         return [(kind, token, c) for kind, counter in self.n.items() for token, c in counter.items()]
 
     def __len__(self) -> int:
@@ -285,6 +301,11 @@ def following(tail: str, st: Statistics) -> str:
     return "cap_" + st.inside(w)
 
 
+@lru_cache(maxsize=100_000)
+def numeric(word: str) -> bool:
+    return bool(_NUMBER.match(word))
+
+
 _UPPER = ("cap_first", "cap_inside", "cap_rare")
 _CASELESS = ("han", "hira", "kata", "thai", "deva", "arab")
 
@@ -393,7 +414,7 @@ class Splitter:
     def is_boundary(self, c: Candidate) -> bool:
         token = c.tail.split(None, 1)
         word = c.word if c.term == "." or not c.term else c.word[-1:]
-        key = (word, bool(_NUMBER.match(c.before)), c.term, c.close, c.gap, token[0], len(token) > 1, c.foreign)  # all that the features see
+        key = (word, numeric(c.before), c.term, c.close, c.gap, token[0], len(token) > 1, c.foreign)  # all that the features see
         got = self.memo.get(key)
         if got is None:
             f, _ = describe(c, self.st)
