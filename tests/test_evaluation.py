@@ -338,3 +338,51 @@ def test_directory_items(spark):
     files = [("/r/Ilex_alba/T1/llm_profile_m.txt", "x\nPregunta Usuario: ¿dónde?\n[R] aquí"), ("/r/Ilex_alba/T1/a_ficha.txt", "en el tier"), ("/r/Ilex_alba/b_ficha.txt", "arriba"), ("/r/Rosa_alba/T3/llm_profile_n.txt", "sin marca")]
     got = J.directory_items(spark.createDataFrame(files, "path string, text string"), "llm_profile_", "_ficha", "[R]")
     assert rows(got.select("answer", "especie", "ground", "model", "question", "tier")) == sorted([("aquí", "Ilex alba", "arriba", "m", "¿dónde?", "T1"), ("sin marca", "Rosa alba", None, "n", None, "T3")], key=repr)
+
+
+def test_grid_and_shape_files(spark, tmp_path):
+    import struct
+
+    from verbena.sources import readers
+
+    (tmp_path / "bio_1.asc").write_text("ncols 3\nnrows 2\nxllcorner -86.0\nyllcorner 8.0\ncellsize 0.5\nNODATA_value -9999\n1 2 3\n4 -9999 6.5\n")
+    px, grid = readers.ascii_grid(spark, str(tmp_path / "bio_1.asc"), "bio_1")
+    assert (grid.x0, grid.y0, grid.dx, grid.dy, grid.nodata) == (-86.0, 9.0, 0.5, -0.5, -9999.0)
+    pts = spark.createDataFrame([(1, -84.6, 8.9), (2, -85.4, 8.1), (3, -84.6, 8.1)], "id int, lon double, lat double")
+    assert dict(G.sampled(pts, px, grid, ["bio_1"]).select("id", "bio_1").collect()) == {1: 3.0, 2: None, 3: 6.5}
+    rings = [[(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)], [(9, 9), (9, 10), (10, 10), (9, 9)]]
+    points = [p for r in rings for p in r]
+    starts = [0, 5, 10]
+    body = struct.pack("<i4d2i", 5, 0, 0, 10, 10, 3, len(points)) + struct.pack("<3i", *starts) + struct.pack(f"<{2 * len(points)}d", *(float(v) for p in points for v in p))
+    (tmp_path / "areas.shp").write_bytes(b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
+    field = b"nombre\0\0\0\0\0" + b"C" + b"\0" * 4 + bytes([8]) + b"\0" * 15
+    (tmp_path / "areas.dbf").write_bytes(b"\x03\0\0\0" + struct.pack("<iHH", 1, 65, 9) + b"\0" * 20 + field + b"\r" + b" parque  ")
+    got = readers.shapefile(spark, str(tmp_path / "areas.*"), "nombre")
+    assert rows(got.select("name", F.size("ring").alias("n"), F.size("holes").alias("h"))) == [(0, 4, "parque"), (1, 5, "parque")]
+    inside = G.polygon_matches(spark.createDataFrame([(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 9.4, 9.8)], "id int, lon double, lat double"), got)
+    assert sorted(r.id for r in inside.collect()) == [1, 3]
+
+
+def test_tukey_and_medians(spark):
+    from verbena.operators import windows as W
+
+    assert [round(Q.studentised_range_tail(q, k, df), 3) for q, k, df in ((3.877, 3, 10), (3.578, 3, 20), (4.232, 5, 20), (3.314, 3, 1e9))] == [0.05] * 4
+    g = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 11.0), ("b", 12.0), ("b", 13.0)], "g string, v double")
+    r = Q.pairwise_differences(g, "g", "v").first()
+    assert r.difference == 10 and r.q == pytest.approx(10 / (1 / 3) ** 0.5) and r.p < 0.001
+    m = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 5.0), ("a", 6.0), ("b", 2.0), ("b", float("nan")), ("c", None), (None, 4.0)], "g string, v double")
+    assert {x.g: x.median for x in W.medians(m, ["g"], "v").collect()} == {"a": 3.0, "b": 2.0, "c": None, None: 4.0}
+    assert W.medians(m, [], "v").first().median == 3.0
+
+
+def test_database_in_ranges(spark):
+    from verbena.sources import readers
+
+    url = "jdbc:derby:memory:verbena;create=true"
+    df = spark.range(100).select(F.col("id").cast("int").alias("ID"), (F.col("id") * 2).cast("int").alias("V"))
+    try:
+        df.write.format("jdbc").options(url=url, dbtable="T").mode("overwrite").save()
+    except Exception as e:  # no embedded database beside Spark
+        pytest.skip(str(e)[:80])
+    got = readers.jdbc(spark, url, "T", "ID", 0, 100, 4)
+    assert got.rdd.getNumPartitions() == 4 and got.agg(F.sum("V")).first()[0] == 9900

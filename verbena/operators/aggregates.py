@@ -57,10 +57,14 @@ def arg_max(df: DataFrame, by: str, label: str, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(by).agg(best.alias("b")).select(by, F.col(f"b.{label}").alias("winner"), F.col(f"b.{value}").alias("best"))
 
 
+def collected_pairs(df: DataFrame, outer: str, inner: str, leaf: str) -> DataFrame:
+    """(outer, inner, leaves): the sorted distinct leaves of each pair; they are few, the pairs may be many."""
+    return df.filter(F.col(outer).isNotNull() & F.col(inner).isNotNull()).groupBy(outer, inner).agg(F.sort_array(F.collect_set(leaf)).alias("leaves"))
+
+
 def collected(df: DataFrame, outer: str, inner: str, leaf: str) -> DataFrame:
-    """Per outer key a map from inner key to its sorted distinct leaves; the leaves of one key are few."""
-    per = df.filter(F.col(outer).isNotNull() & F.col(inner).isNotNull()).groupBy(outer, inner).agg(F.sort_array(F.collect_set(leaf)).alias("leaves"))
-    return per.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, "leaves")))).alias("tree"))
+    """Per outer key a map from inner key to its leaves, for outer keys with few inner ones; beyond that ``collected_pairs`` has the same without a row per outer key."""
+    return collected_pairs(df, outer, inner, leaf).groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, "leaves")))).alias("tree"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -79,6 +79,23 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return _beta_i(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
+def studentised_range_tail(q: float, k: float, df: float) -> float:
+    """Chance that the range of k means, in pooled standard errors with df degrees of freedom, exceeds q (Tukey): a sum over the deviation of the pooled error of the normal range's law."""
+    if q <= 0:
+        return 1.0
+    z = np.linspace(-8, 8, 801)
+    dense = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    below = 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+    spread = 6 / math.sqrt(2 * df)
+    s = np.linspace(max(1e-6, 1 - spread), 1 + spread, 401) if df < 20_000 else np.array([1.0])
+    # The pooled deviation's law (a scaled chi), normalised on the grid.
+    log = (df - 1) * np.log(s) - df * s * s / 2
+    weight = np.exp(log - log.max())
+    shifted = np.interp(z[None, :] - q * s[:, None], z, below, left=0.0, right=1.0)
+    inside = k * np.trapezoid(dense * (below - shifted) ** (k - 1), z, axis=1)
+    return float(min(1.0, max(0.0, 1 - (weight * inside).sum() / weight.sum())))
+
+
 def signed_rank_p(w: float, n: int) -> float:
     """Exact two-sided p of the smaller signed-rank sum w of n differences without ties."""
     ways = np.zeros(n * (n + 1) // 2 + 1)
@@ -207,13 +224,15 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def pairwise_differences(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Differences of group means with the pooled standard error and Tukey's q (whose p needs a table of the studentised range)."""
+    """Differences of group means with the pooled standard error, Tukey's q and its p."""
     v = not_nan(F.col(value).cast("double"))
     per = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s")).filter("n > 0")
-    pooled = per.agg((F.sum(F.col("n") * F.col("s")) / F.nullif(F.sum("n") - F.count("*"), F.lit(0))).alias("mse"))
+    pooled = per.agg((F.sum(F.col("n") * F.col("s")) / F.nullif(F.sum("n") - F.count("*"), F.lit(0))).alias("mse"), (F.sum("n") - F.count("*")).cast("double").alias("free"), F.count("*").cast("double").alias("k"))
     each = per.agg(F.sort_array(F.collect_list(F.struct("g", "n", "m"))).alias("all")).join(pooled, how="cross")  # one row each
     pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y, j: j > i), lambda y: F.struct(x["g"].alias("a"), y["g"].alias("b"), (y["m"] - x["m"]).alias("difference"), (1 / x["n"] + 1 / y["n"]).alias("inv")))))
-    return each.select(F.explode(pairs).alias("p"), "mse").select("p.a", "p.b", "p.difference", F.sqrt(F.col("mse") / 2 * F.col("p.inv")).alias("se")).withColumn("q", F.abs("difference") / F.nullif("se", F.lit(0.0)))
+    rows = each.select(F.explode(pairs).alias("p"), "mse", "k", "free").select("p.a", "p.b", "p.difference", F.sqrt(F.col("mse") / 2 * F.col("p.inv")).alias("se"), "k", "free")
+    rows = rows.withColumn("q", F.abs("difference") / F.nullif("se", F.lit(0.0)))
+    return rows.withColumn("p", _mapped(studentised_range_tail)(F.col("q"), F.col("k"), F.col("free"))).drop("k", "free")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import checked_join, materialise
+from .relational import not_nan
 
 #: Distinct values per cut of a group's order that one task sorts, and bounds of the number of cuts.
 PER_CUT, LEAST_CUTS, MOST_CUTS = 100_000, 16, 4_000
@@ -45,6 +46,18 @@ def _below(edges: str, value: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(max(1, most).bit_length())), start, halved)["lo"]
 
 
+def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """The exact median per group, from ranks of its distinct values, so that no group is gathered; null where a group has no value."""
+    by = list(by)
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")  # null is a group as others are
+    rows = df.select(*by, key.alias("__k"), not_nan(F.col(value).cast("double")).alias("__v"))
+    ranks = value_ranks(rows, ["__k"], "__v").withColumn("__upto", F.col("rank") + (F.col("ties") - 1) / 2)
+    sizes = materialise(rows.groupBy(*by, "__k").agg(F.count("__v").alias("__n")), "median-sizes")
+    at = lambda place: F.min(F.when(F.col("__upto") >= place, F.col("__v")))
+    met = sizes.join(ranks, "__k", "left").groupBy("__k", *by).agg(at(F.floor((F.col("__n") + 1) / 2)).alias("__a"), at(F.ceil((F.col("__n") + 1) / 2)).alias("__b"))
+    return met.select(*by, ((F.col("__a") + F.col("__b")) / 2).alias(name))
+
+
 def small_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Average ranks within groups known to be small (one row per label)."""
     w = Window.partitionBy(*by).orderBy(value)

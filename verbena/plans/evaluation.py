@@ -118,7 +118,8 @@ def min_max_mean(spark, sf_dir):
 
 @query("select extraction_method, median(elevation_max_m) median_max from picked_species_enhanced group by all")
 def group_median(spark, sf_dir):
-    return table(spark, sf_dir, "picked_species_enhanced").groupBy("extraction_method").agg(F.median("elevation_max_m").alias("median_max"))
+    t = table(spark, sf_dir, "picked_species_enhanced").select("extraction_method", "elevation_max_m")
+    return W.medians(t, ["extraction_method"], "elevation_max_m", "median_max")
 
 
 @query("select extraction_method, count(*) filter (where habitat_raw is null or trim(habitat_raw) = '') n_empty, count(*) filter (where elevation_min_m is not null) n_height, count(*) n from picked_species_enhanced group by all")
@@ -135,8 +136,8 @@ def corr_direction(spark, sf_dir):
 
 @query(f"select evaluator, especie, list_aggregate(list_sort(list(distinct tier)), 'string_agg', ',') tiers from {_HUMAN} where evaluator is not null and especie is not null and tier is not null group by all")
 def nested_progress(spark, sf_dir):
-    tree = A.collected(human(spark, sf_dir, "evaluator", "especie", "tier").filter("tier is not null"), "evaluator", "especie", "tier")
-    return tree.select("evaluator", F.explode("tree").alias("especie", "tiers")).select("evaluator", "especie", F.concat_ws(",", "tiers").alias("tiers"))
+    per = A.collected_pairs(human(spark, sf_dir, "evaluator", "especie", "tier").filter("tier is not null"), "evaluator", "especie", "tier")
+    return per.select("evaluator", "especie", F.concat_ws(",", "leaves").alias("tiers"))
 
 
 @query(f"select especie, tier winner, best from (select especie, tier, best, row_number() over (partition by especie order by best desc, tier) r from (select especie, tier, round(avg(score_compuesto::double), 6) best from {_LLM} group by all) where best is not null) where r = 1")
@@ -307,7 +308,15 @@ def anova_f(spark, sf_dir):
 
 @query(f"with x as (select tier g, score_compuesto::double v from {_LLM} where tier is not null and score_compuesto is not null), p as (select g, count(*) n, avg(v) m, var_pop(v) s from x group by g), e as (select sum(n * s) / (sum(n) - count(*)) mse from p) select a.g a, b.g b, round(b.m - a.m, 6) + 0.0 difference, round(sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) se, round(abs(b.m - a.m) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) q from p a join p b on a.g < b.g, e")
 def tukey_differences(spark, sf_dir):
-    return rounded(Q.pairwise_differences(llm(spark, sf_dir, "tier", SCORE), "tier", "score_compuesto"))
+    return rounded(Q.pairwise_differences(llm(spark, sf_dir, "tier", SCORE), "tier", "score_compuesto").drop("p"))
+
+
+def tukey_p(spark, sf_dir):
+    """Tukey's test with its p."""
+    return Q.pairwise_differences(llm(spark, sf_dir, "tier", SCORE), "tier", "score_compuesto")
+
+
+QUERIES["tukey_p"] = tukey_p
 
 
 def bootstrap_ci(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zipfile
 from collections.abc import Iterator, Sequence
 from io import BytesIO
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.geo import Grid
+
 #: Tables of the warehouse.
 EXPERIMENTS = "exp_id string, persona string, n_species int, started_at string, status string, notes string"
 LLM_EVALUATIONS = "exp_id string, especie string, tier string, perfil string, modelo_generador string, stratum string, m1 float, m2 float, m3 float, m4 float, m5 float, score_compuesto float, taxonomy_valid int, disagree_flag int, needs_human_review int, synced_at string"
@@ -91,6 +94,70 @@ def geojson(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
     return rows.select(F.concat_ws("-", "i", "k").alias("poly_id"), "name", F.get(rings, F.lit(0)).alias("ring"), F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes")).filter("ring is not null")
 
 
+def ascii_grid(spark: SparkSession, path: str, layer: str) -> tuple[DataFrame, Grid]:
+    """(layer, row, col, value) and the header of a raster in the text format of grids (ncols, nrows, xllcorner, yllcorner, cellsize, nodata_value, then the rows from north to south)."""
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("ls"))
+    heads = lines.select(F.explode(F.filter("ls", lambda x: x.rlike(r"^\s*[A-Za-z]"))).alias("h")).collect()  # six lines
+    head = {k.lower(): float(v) for k, v in (r.h.split() for r in heads)}
+    size = head["cellsize"]
+    grid = Grid(head["xllcorner"], head["yllcorner"] + head["nrows"] * size, size, -size, head.get("nodata_value"))
+    rows = lines.select(F.posexplode(F.filter("ls", lambda x: x.rlike(r"^\s*[-+.0-9]"))).alias("row", "line"))
+    cells = rows.select(F.lit(layer).alias("layer"), "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
+    return cells.select("layer", "row", "col", F.col("v").cast("double").alias("value")), grid
+
+
+def shapefile(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
+    """(poly_id, name, ring, holes): the polygons of .shp files with the names of a column of the .dbf beside them. Outer rings run clockwise; a file is read by one task."""
+    point = "struct<x: double, y: double>"
+    both = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("stem"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"), "content")
+    files_ = both.filter("kind in ('shp', 'dbf')").groupBy("stem").agg(*(F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("shp", "dbf")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for stem, shp, dbf in zip(pdf["stem"], pdf["shp"], pdf["dbf"]):
+                names = _dbf_column(dbf, name) if dbf is not None else []
+                rows = [(f"{stem.rsplit('/', 1)[-1]}-{i}-{k}", names[i] if i < len(names) else None, ring, holes) for i, parts in enumerate(_shp_polygons(shp)) for k, (ring, holes) in enumerate(parts)]
+                yield pd.DataFrame(rows, columns=["poly_id", "name", "ring", "holes"])
+
+    return files_.filter("shp is not null").mapInPandas(run, f"poly_id string, name string, ring array<{point}>, holes array<array<{point}>>")
+
+
+def _shp_polygons(data: bytes) -> Iterator[list[tuple[list[dict], list[list[dict]]]]]:
+    """Per record its polygons: outer ring and holes."""
+    at = 100
+    while at + 12 <= len(data):
+        (words,) = struct.unpack(">i", data[at + 4 : at + 8])
+        body = data[at + 8 : at + 8 + 2 * words]
+        at += 8 + 2 * words
+        polygons: list[tuple[list[dict], list[list[dict]]]] = []
+        if struct.unpack("<i", body[:4])[0] in (5, 15, 25):
+            n_parts, n_points = struct.unpack("<2i", body[36:44])
+            starts = [*struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts]), n_points]
+            xy = struct.unpack(f"<{2 * n_points}d", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points])
+            for s, e in zip(starts, starts[1:]):
+                ring = [(xy[2 * i], xy[2 * i + 1]) for i in range(s, e)]
+                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+                points = [{"x": x, "y": y} for x, y in ring]
+                if area > 0 and polygons:  # counter-clockwise: a hole of the ring before
+                    polygons[-1][1].append(points)
+                else:
+                    polygons.append((points, []))
+        yield polygons
+
+
+def _dbf_column(data: bytes, name: str) -> list[str | None]:
+    n, head, size = struct.unpack("<iHH", data[4:12])
+    at, place = 1, None
+    for i in range(32, head - 1, 32):
+        title, width = data[i : i + 11].split(b"\0")[0].decode("ascii", "replace"), data[i + 16]
+        if title.lower() == name.lower():
+            place = (at, at + width)
+        at += width
+    if place is None:
+        return []
+    return [data[head + k * size + place[0] : head + k * size + place[1]].decode("utf-8", "replace").strip() or None for k in range(n)]
+
+
 def zip_members(spark: SparkSession, path: str, suffix: str = "", part: str = "") -> DataFrame:
     """(path, member, content) of the archives' members whose names end and contain as asked; one archive is read by one task."""
 

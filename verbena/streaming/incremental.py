@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..runtime import parts
+
 
 def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -25,10 +27,18 @@ def windowed(stream: DataFrame, time: str, late: str, width: str, slide: str | N
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming query over what is there and returns its result table."""
-    q: StreamingQuery = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a streaming query over what is there and returns its result, written beside its checkpoint: of a complete result the last batch, else all batches."""
+    out = f"{checkpoint}/{name}-result"
+
+    def batch(part: DataFrame, k: int) -> None:
+        part.write.mode("overwrite").parquet(f"{out}/batch={k}")  # a batch that is repeated after a failure overwrites itself
+
+    q: StreamingQuery = df.writeStream.outputMode(mode).foreachBatch(batch).queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    batches = sorted(int(k.partition("=")[2]) for k in parts(spark, out))
+    paths = [f"{out}/batch={k}" for k in (batches[-1:] if mode == "complete" else batches)]
+    return spark.read.schema(df.schema).parquet(*paths)
 
 
 def each_new_unit(stream: DataFrame, done_path: str, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
