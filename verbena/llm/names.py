@@ -179,7 +179,7 @@ def resolve(typed: DataFrame, listed: DataFrame) -> DataFrame:
     names = typed.select("name").distinct().withColumn("form", form(F.col("name")))
     names = materialise(names, "names-typed")
     short = F.length(F.split_part("form", F.lit(" "), F.lit(1))) == 1
-    left = names.filter("form is not null").select(F.col("form").alias("l")).distinct()
+    left = spread(names.filter("form is not null").select(F.col("form").alias("l")), "l").distinct()
     left = left.withColumn("kind", F.length(F.split_part("l", F.lit(" "), F.lit(1))) == 1).withColumn("tokens", tokens(F.col("l")))
     entries = materialise(listed.select("ref_id", "entry", form(F.col("entry")).alias("r")).filter("r is not null"), "names-listed")
     full = entries.select("r", F.lit(False).alias("kind")).distinct()
