@@ -203,6 +203,12 @@ def stacked(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def rows_not_in(df: DataFrame, other: DataFrame, key: str, keep_nulls: bool = True) -> DataFrame:
+    """Rows whose key the other table does not have. Rows without a key stay (as a data frame's "not in" has it), or go with ``keep_nulls`` off (as SQL's)."""
+    left = df if keep_nulls else df.filter(F.col(key).isNotNull())
+    return left.join(other.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*df.columns)
+
+
 def keys_missing(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None) -> DataFrame:
     return left.select(key).distinct().join(right.select(F.col(right_key or key).alias(key)).distinct(), key, "left_anti")
 

@@ -8,6 +8,7 @@ from ..functions import canonical_key
 from ..functions.numbers import half_away, half_even, whole, zero_as_missing
 from ..operators import relational as R
 from ..operators import reports as P
+from ..operators import windows as W
 from ..runtime import table
 from ..sources import readers
 from .evaluation import KEYS, METRICS, SCORE, TIERS, human, llm, model, rounded
@@ -184,6 +185,21 @@ def masked_assignment(spark, sf_dir):
     return R.assigned(t, new, "exp_id")
 
 
+@query("select pick_id, species, 'kept' kind from picked_species where species is null or species not in (select species from species_reference) union all select pick_id, species, 'left out' from picked_species where species not in (select species from species_reference)")
+def rows_not_in(spark, sf_dir):
+    """Rows whose name is not listed, those without a name kept and left out."""
+    t, ref = table(spark, sf_dir, "picked_species").select("pick_id", "species"), table(spark, sf_dir, "species_reference")
+    return R.rows_not_in(t, ref, "species").withColumn("kind", F.lit("kept")).unionByName(R.rows_not_in(t, ref, "species", keep_nulls=False).withColumn("kind", F.lit("left out")))
+
+
+@query("select tier, min(s) lowest, median(s) middle, max(s) highest, count(*) n from (select distinct eval_id, tier, score_compuesto::double s from llm_evaluations) where s is not null and tier is not null group by all")
+def box_data(spark, sf_dir):
+    """The figures behind a box plot of the scores per tier."""
+    t = llm(spark, sf_dir, "tier", SCORE).select("tier", F.col(SCORE).cast("double").alias("s")).filter("s is not null and tier is not null")
+    ends = t.groupBy("tier").agg(F.min("s").alias("lowest"), F.max("s").alias("highest"), F.count("*").alias("n"))
+    return ends.join(W.medians(t, ["tier"], "s", "middle"), "tier").select("tier", "lowest", "middle", "highest", "n")
+
+
 @query(f"select eval_id, {', '.join(f'{m}::int {m}' for m in ('disagree_flag', 'taxonomy_valid'))}, case when lower(r.taxonomy_valid::varchar) = '1' then 1 else 0 end flag from llm_evaluations r where taxonomy_valid is not null and disagree_flag is not null")
 def typed_flags(spark, sf_dir):
     """Mixed flags as whole numbers."""
