@@ -28,7 +28,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ class OrphanTracker:
         self.session, self.label, self.folder = session, label, folder
         self.step, self.n_keys, self.lives_at, self.index_at = 0, 0, None, None
         self.log_at: list[tuple[str, str]] = []  # path, kind: batch or log
-        self.settled_at: list[tuple[str, int | None]] = []  # path of the batch, the last time that held
+        self.settled_at: list[str] = []
         self.tables: dict[str, DataFrame] = {}
 
     def _write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str:
@@ -115,7 +115,7 @@ class OrphanTracker:
         got = max((json.loads(r.value) for r in session.read.text(f"{folder}/manifest-*").collect()), key=lambda s: s["step"])  # one small line per batch
         t = cls(session, label, folder)
         t.step, t.n_keys, t.lives_at, t.index_at = got["step"], got["n_keys"], got["lives"], got["index"]
-        t.log_at, t.settled_at = [tuple(x) for x in got["log"]], [tuple(x) for x in got["settled"]]
+        t.log_at, t.settled_at = [tuple(x) for x in got["log"]], got["settled"]
         return t
 
     def _judge(self, refs: DataFrame) -> DataFrame:
@@ -145,11 +145,11 @@ class OrphanTracker:
         spans = self._table(self.lives_at, LIFE).filter("valid_from is not null").groupBy("ref_field", "key").agg(F.min("valid_from").alias("first"), F.max("valid_to").alias("last"))
         old = self.index.select("ref_field", "key", F.col("first").alias("old_first"), F.col("last").alias("old_last"))
         spans = spans.join(old, ["ref_field", "key"], "left").withColumn("changed", ~(F.col("first").eqNullSafe(F.col("old_first")) & F.col("last").eqNullSafe(F.col("old_last"))))
-        seen = Observation(f"{self.label}-{self.step}")
         shorter = F.when(F.col("last") < F.col("old_last"), F.col("last"))
-        self.index_at = self._write(spans.select(*T.StructType.fromDDL(SPAN).names).observe(seen, F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.min(shorter).alias("since")), "index")
-        self.n_keys = seen.get["n"]
-        return seen.get["changed"], seen.get["since"]
+        self.index_at = self._write(spans.select(*T.StructType.fromDDL(SPAN).names), "index")
+        seen = self.index.agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.min(shorter).alias("since")).first()
+        self.n_keys = seen.n
+        return seen.changed, seen.since
 
     def advance(self, refs: DataFrame, arrivals: DataFrame | None = None, deletions: DataFrame | None = None) -> None:
         """One batch. ``arrivals``: (ref_field, key, parent_id, valid_from) that became known in it; ``deletions``: (ref_field, key, parent_id, valid_to) of records withdrawn in it."""
@@ -163,19 +163,17 @@ class OrphanTracker:
             if self.log_at:
                 again = checked_join(self.verdicts().withColumnRenamed("fault", "was"), touched, ["ref_field", "key"], salt_on=["row_id"])
                 delta.append(again.withColumn("fault", F.expr(_FAULT)).filter("fault <> was").select(*_ID, "fault"))
-            for path, last in self.settled_at if since is not None else []:
-                if last is not None and last >= since:  # else nothing in that batch can have been deleted
-                    old = self._table(path, BATCH, ("settled",)).filter(F.col("settled") & (F.col("ref_time") >= since)).select(*_ID)
-                    rows = checked_join(old, touched.filter("last < old_last"), ["ref_field", "key"], salt_on=["row_id"])
-                    delta.append(rows.filter("ref_time >= last and ref_time < old_last").select(*_ID, F.lit("deleted").alias("fault")))
+            for path in self.settled_at if since is not None else []:  # row groups of earlier times are passed over by their bounds
+                old = self._table(path, BATCH, ("settled",)).filter(F.col("settled") & (F.col("ref_time") >= since)).select(*_ID)
+                rows = checked_join(old, touched.filter("last < old_last"), ["ref_field", "key"], salt_on=["row_id"])
+                delta.append(rows.filter("ref_time >= last and ref_time < old_last").select(*_ID, F.lit("deleted").alias("fault")))
         step = F.lit(self.step).alias("step")
         if delta:
             self.log_at.append((self._write(reduce(DataFrame.unionByName, delta).select(*_ID, "fault", step), "delta"), "log"))
-        seen = Observation(f"{self.label}-refs-{self.step}")
-        verdict = self._judge(refs.select(*_ID)).withColumn("settled", F.col("fault") == "none").observe(seen, F.max(F.when(F.col("fault") == "none", F.col("ref_time"))).alias("last"))
+        verdict = self._judge(refs.select(*_ID)).withColumn("settled", F.col("fault") == "none")
         batch = self._write(verdict.select(*_ID, "fault", step, "settled").sortWithinPartitions("settled", "ref_time"), "batch", ("settled",))
         self.log_at.append((batch, "batch"))
-        self.settled_at.append((batch, seen.get["last"]))
+        self.settled_at.append(batch)
         self.step += 1
         if len(self.log_at) > COMPACT:
             self.log_at = [(self._write(self.verdicts().select(*_ID, "fault", F.lit(self.step - 1).alias("step")), "log"), "log")]
