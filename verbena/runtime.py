@@ -9,13 +9,13 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows a side may have to be broadcast; beyond it, joins are shuffled and salted.
-BROADCAST_ROWS = 200_000
-#: Replicas of the small side where a shuffled join is salted.
+#: Rows a side may have, and bytes as rows in memory, to be broadcast; beyond either, joins are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Replicas of the small side where a shuffled join is salted: where adaptive execution does not split skewed partitions.
 SALTS = 16
 
 
@@ -94,18 +94,47 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in a row in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, MapType):
+        return _bytes(F.map_keys(value), ArrayType(kind.keyType)) + _bytes(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, MapType, ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(0)) + 24
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    return F.lit(16 if kind.typeName() == "decimal" else 8)
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> bool:
+    """Whether df is small enough, in rows and in bytes, to be held by the driver and every executor."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+    rows, total = df.agg(F.count("*"), F.sum(size.cast("bigint"))).first()
+    return rows <= max_rows and (total or 0) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def _splits_skew(spark: SparkSession) -> bool:
+    return all(spark.conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "skewJoin.enabled"))
+
+
 def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salt_on: Sequence[str] = ()) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it; else a shuffled join whose hot keys are salted.
+    """Join that broadcasts ``small`` only after its rows and bytes were counted; else a sort-merge join, asked for by a hint, for Spark
+    would broadcast by the size of compressed files. Adaptive execution splits its skewed partitions; where that is off, hot keys are salted.
 
     ``small`` should be cheap to count (a written table). ``how`` is inner, left, left_semi or left_anti:
     each row of ``big`` meets exactly one replica of ``small``, so salting changes no result.
     """
     keys = list(keys)
-    if at_most(small, max_rows):
+    if fits(small, max_rows):
         return big.join(F.broadcast(small), keys, how)
+    if _splits_skew(big.sparkSession):
+        return big.join(small.hint("merge"), keys, how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
