@@ -29,6 +29,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,8 +47,10 @@ CONFUSED = (
 FIGURES = (("O", "0"), ("o", "0"), ("l", "1"), ("I", "1"), ("S", "5"), ("B", "8"), ("Z", "2"))
 #: How many times more frequent the right word must be, and the least share of all words it must have.
 TIMES, SHARE = 10, 1e-5
-#: Words that show a difference before it is learned, least share of the words with the same wrong part, and most differences learned (the best shown).
-SHOWN, SHOWN_SHARE, LEARNED = 5, 0.2, 100
+#: Words that show a difference before it is learned, and least share of the words with the same wrong part.
+SHOWN, SHOWN_SHARE = 5, 0.2
+#: Differences that stand in the plan as an expression; where there are more, all are joined to the parts of words.
+INLINE = 150
 #: Least share of the occurrences of its rarest word that a head has as a line, and least number.
 HEAD_SHARE, HEAD_LINES = 0.1, 4
 #: Share of a head's lines that stand between other lines and that end without a stop.
@@ -272,8 +276,27 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def learned(rare: DataFrame, right: DataFrame) -> list[tuple[str, str]]:
-    """Differences of marks and figures among letters: parts of rare words (word) beside parts of frequent words (right) that are equal but for them, the best shown first."""
+def _parts(text: Column) -> Column:
+    """The distinct parts of one and two characters, which wrong parts are."""
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda p: F.substring(text, p, F.lit(k)))
+    return F.array_distinct(F.concat(cut(1), cut(2)))
+
+
+def _with_rules(df: DataFrame, texts: list[Column], rules: DataFrame, suffix: str = "") -> DataFrame:
+    """df with each difference (wrong, good, delta) whose wrong part stands in one of the texts. rules: a written table of (wrong, good)."""
+    names = [f"{c}{suffix}" for c in ("wrong", "good", "delta")]
+    if at_most(rules, INLINE):
+        given = sorted((r.wrong, r.good) for r in rules.collect())
+        held = F.filter(_rules(given, suffix), lambda r: reduce(or_, (F.instr(t, r[names[0]]) > 0 for t in texts)))
+        return df.select("*", F.explode(held).alias("r")).select(*df.columns, *(f"r.{c}" for c in names))
+    delta = anagram(F.col("good")) - anagram(F.col("wrong"))
+    told = rules.select(F.col("wrong").alias(names[0]), F.col("good").alias(names[1]), delta.alias(names[2]))
+    cut = df.select("*", F.explode(F.array_distinct(F.concat(*map(_parts, texts)))).alias(names[0]))
+    return checked_join(cut, told, [names[0]], salt_on=["word"]).select(*df.columns, *names)
+
+
+def learned(rare: DataFrame, right: DataFrame) -> DataFrame:
+    """(wrong, good): differences of marks and figures among letters: parts of rare words (word) beside parts of frequent words (right) that are equal but for them."""
     def gapped(word: str, sizes: range, odd: bool) -> Column:
         w = F.col(word)
         cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - k + 1, F.lit(1))), lambda p: F.struct(F.concat(F.substring(w, F.lit(1), p - 1), F.lit("\x00"), F.substring(w, p + k, F.length(w))).alias("rest"), F.substring(w, p, F.lit(k)).alias("part")))
@@ -287,7 +310,7 @@ def learned(rare: DataFrame, right: DataFrame) -> list[tuple[str, str]]:
     shown = a.join(b.distinct(), "rest").groupBy("wrong", "good").agg(F.countDistinct("word").alias("n"))
     total = a.groupBy("wrong").agg(F.countDistinct("word").alias("total"))
     best = shown.join(total, "wrong").filter((F.col("n") >= SHOWN) & (F.col("n") >= SHOWN_SHARE * F.col("total")))
-    return [(r.wrong, r.good) for r in best.orderBy(F.desc("n"), "wrong", "good").limit(LEARNED).collect() if (r.wrong, r.good) not in CONFUSED]
+    return best.select("wrong", "good")
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -298,12 +321,11 @@ def corrections(counts: DataFrame) -> DataFrame:
     right = materialise(frequent.select(F.col("word").alias("right"), F.col("n").alias("right_n"), anagram(F.col("word")).alias("hash")), "ocr-frequent")
     most = right.agg(F.max("right_n")).first()[0] or 0
     base = counts.filter(F.col("n") * TIMES <= most).select("word", "n", anagram(F.col("word")).alias("h0"))
-    rules = [*CONFUSED, *learned(base, right)]
-    has = lambda text, r, name: F.instr(text, r[name]) > 0
-    one = base.select("word", "n", "h0", F.explode(F.filter(_rules(rules), lambda r: has(F.col("word"), r, "wrong"))).alias("r")).select("word", "n", "r.wrong", "r.good", (F.col("h0") + F.col("r.delta")).alias("hash"))
+    fixed = base.sparkSession.createDataFrame(list(CONFUSED), "wrong string, good string")
+    rules = materialise(fixed.unionByName(learned(base, right)).distinct(), "ocr-rules")
+    one = _with_rules(base, [F.col("word")], rules).select("word", "n", "wrong", "good", (F.col("h0") + F.col("delta")).alias("hash"))
     changed = F.replace("word", F.col("wrong"), F.col("good"))
-    second = F.filter(_rules(rules, "2"), lambda r: has(F.col("word"), r, "wrong2") | has(changed, r, "wrong2"))
-    two = one.select("*", F.explode(second).alias("r")).select("word", "n", "wrong", "good", (F.col("hash") + F.col("r.delta2")).alias("hash"), "r.wrong2", "r.good2")
+    two = _with_rules(one, [F.col("word"), changed], rules, "2").select("word", "n", "wrong", "good", (F.col("hash") + F.col("delta2")).alias("hash"), "wrong2", "good2")
     none = F.lit(None).cast("string")
     tried = one.select("word", "n", "hash", "wrong", "good", none.alias("wrong2"), none.alias("good2")).unionByName(two.select("word", "n", "hash", "wrong", "good", "wrong2", "good2"))
     met = checked_join(tried, right, ["hash"], salt_on=["word"]).filter((F.col("n") * TIMES <= F.col("right_n")) & (F.col("word") != F.col("right")))
