@@ -96,13 +96,13 @@ def json_documents(spark, sf_dir):
     """One JSON document per file, found by its pattern; and a log document whose keys are data."""
     path = _place(spark, "docs")
     t = table(spark, sf_dir, "experiments").filter("persona is not null").select("exp_id", "persona").distinct()
-    one = t.groupBy("exp_id").agg(F.min("persona").alias("persona")).select("exp_id", F.to_json(F.struct("exp_id", "persona")).alias("value"))
-    one.withColumn("k", F.col("exp_id")).select("k", "value").write.partitionBy("k").text(path)
-    log = _place(spark, "log")
-    one = t.groupBy("exp_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("persona", F.lit(1))))).alias("value"))
-    one.write.partitionBy("exp_id").text(log)
-    keys = readers.json_log(spark, log + "/*/*.txt").select(F.url_decode(F.regexp_extract("path", "exp_id=([^/]*)/", 1)).alias("exp_id"), "key")
-    docs = readers.json_documents(spark, path + "/*/*.txt", "exp_id string, persona string").select("exp_id").distinct()
+    one = t.groupBy("exp_id").agg(F.to_json(F.struct("exp_id", F.min("persona").alias("persona"))).alias("doc"), F.to_json(F.map_from_entries(F.collect_set(F.struct("persona", F.lit(1))))).alias("log"))
+    one, log = materialise(one, "json-documents"), _place(spark, "log")
+    sinks.documents(one, path, "exp_id", "doc")
+    sinks.documents(one, log, "exp_id", "log")
+    with readers.small_files(spark):
+        keys = materialise(readers.json_log(spark, log, "*.json").select(readers.document_name(F.col("path")).alias("exp_id"), "key"), "json-keys")
+        docs = materialise(readers.json_documents(spark, path, "exp_id string, persona string", "*.json").select("exp_id").distinct(), "json-found")
     return keys.join(docs, "exp_id", "left_semi").groupBy("exp_id").agg(F.count("*").alias("n"))
 
 

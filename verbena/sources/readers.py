@@ -5,10 +5,11 @@ from __future__ import annotations
 import struct
 import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,17 +50,43 @@ def line_list(spark: SparkSession, path: str, comment: str | None = "#") -> Data
     return df if comment is None else df.filter(~F.col("value").startswith(comment))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON document, with its path; no rows where no file is."""
-    reader = spark.read.schema(schema).options(multiLine=True, mode="PERMISSIVE")
-    if not list(files(spark, path).take(1)):
+@contextmanager
+def small_files(spark: SparkSession, cost: int = 64 << 10) -> Iterator[None]:
+    """What is run inside reads many files a task; by Spark's own cost of opening a file, a task has four or so."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _below(pattern: str | None) -> dict[str, object]:
+    """Options by which a path is a folder whose files of that pattern are read: folders are listed in parallel, files not one by one as by a path with stars."""
+    return {} if pattern is None else {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+
+
+def document_name(path: Column, suffix: str = ".json") -> Column:
+    """The name under which ``sinks.documents`` wrote a file."""
+    name = F.regexp_extract(path, "/doc-([^/]*)$", 1)
+    return F.url_decode(F.url_decode(F.substring(name, F.lit(1), F.length(name) - len(suffix))))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str, pattern: str | None = None) -> DataFrame:
+    """One row per JSON document, with its path; no rows where no file is. With a pattern, path is a folder."""
+    try:
+        docs = spark.read.schema(schema).options(multiLine=True, mode="PERMISSIVE", **_below(pattern)).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], schema).withColumn("path", F.lit(None).cast("string"))
-    return reader.json(path).withColumn("path", F.col("_metadata.file_path"))
+    return docs.withColumn("path", F.col("_metadata.file_path"))
 
 
-def json_log(spark: SparkSession, path: str) -> DataFrame:
-    """(path, key, value variant): a document whose top level is a map from keys to values of any type."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+def json_log(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, key, value variant): a document whose top level is a map from keys to values of any type. With a pattern, path is a folder."""
+    docs = spark.read.options(**_below(pattern)).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
     docs = docs.filter(F.schema_of_variant("doc").startswith("OBJECT"))
     docs.createOrReplaceTempView("__verbena_log")
     return spark.sql("select d.path, e.key, e.value from __verbena_log d, lateral variant_explode(d.doc) e")

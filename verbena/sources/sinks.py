@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import first_gap
-from ..runtime import at_most
+from ..runtime import at_most, spread
 
 REPORT_ROWS = 100_000
 
@@ -27,6 +29,33 @@ def json_lines(df: DataFrame, path: str, one_file: bool = False) -> None:
     (_report(df) if one_file else df).write.mode("overwrite").json(path)
 
 
+#: Folders among which the files of ``documents`` are dealt out, so that they are listed in parallel.
+FOLDERS = 64
+
+
+def documents(df: DataFrame, path: str, name: str, value: str, suffix: str = ".json") -> int:
+    """One file per row, ``<path>/<folder>/doc-<quoted name><suffix>``, by the tasks themselves (a writer of partitions moves each file once
+    more on the driver); how many. Names are distinct; ``readers.document_name`` reads them back. A task that runs again writes the same files."""
+    folder = F.pmod(F.xxhash64(name), F.lit(FOLDERS)).cast("string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as files
+
+        fs, root = files.FileSystem.from_uri(path)
+        made = set()
+        for pdf in batches:
+            for f, n, v in zip(pdf["f"], pdf["n"], pdf["v"]):
+                if f not in made:
+                    fs.create_dir(f"{root}/{f}", recursive=True)
+                    made.add(f)
+                with fs.open_output_stream(f"{root}/{f}/doc-{quote(n, safe='')}{suffix}") as out:
+                    out.write(v.encode())
+            yield pd.DataFrame({"written": [len(pdf)]})
+
+    rows = df.select(folder.alias("f"), F.col(name).alias("n"), F.col(value).alias("v")).filter("n is not null and v is not null")
+    return spread(rows, "f").mapInPandas(run, "written bigint").agg(F.sum("written")).first()[0] or 0
+
+
 def parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").partitionBy(*partition_by).parquet(path)
 
